@@ -116,8 +116,8 @@ def calibrated_gap(rows: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("session", "seg").orderBy("at", "line_no", "transcript")
     low, high = GAP_RANGE
-    gap = F.greatest(F.lit(low), F.least(F.lit(high), F.col("at") - F.lag("at").over(w)))
-    bins = rows.select(gap.alias("gap")).where("gap is not null").select(F.round(F.log2("gap") * GAP_BINS).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    gaps = rows.select((F.col("at") - F.lag("at").over(w)).alias("gap")).where("gap is not null")
+    bins = gaps.select(F.greatest(F.lit(low), F.least(F.lit(high), F.col("gap"))).alias("gap")).select(F.round(F.log2("gap") * GAP_BINS).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     up, all_ = Window.orderBy("bin"), Window.partitionBy()
     x = bins.withColumns({"n0": F.sum("n").over(up), "s0": F.sum(F.col("n") * F.col("bin")).over(up), "n1": F.sum("n").over(all_), "s1": F.sum(F.col("n") * F.col("bin")).over(all_)})
     x = x.where("n1 > n0").withColumn("apart", F.col("n0") * (F.col("n1") - F.col("n0")) * F.pow(F.col("s0") / F.col("n0") - (F.col("s1") - F.col("s0")) / (F.col("n1") - F.col("n0")), 2))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, neardup, split, survivor
+from quern.llm import conversations, neardup, pii, split, survivor
 from quern.session import table
 
 
@@ -51,5 +51,14 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "calls"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "entries"), table(spark, d, "memory_chunks"), table(spark, d, "name_parts"))
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    got = pii.scan(pii.records_of(table(spark, d, "entries"), table(spark, d, "memory_chunks")), table(spark, d, "name_parts"))
+    return got.select("src", "row_id", "clean", "redacted").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
