@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import conversations, neardup, pii, split, survivor
+from quern.llm import abuse, conversations, mixing, neardup, packing, pii, split, survivor
 from quern.session import table
 
 
@@ -60,5 +60,38 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return got.select("src", "row_id", "clean", "redacted").distinct()
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p6_pack(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection()
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return abuse.score_documents(documents, abuse.fit(documents, table(spark, d, "doc_labels")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.source_rates(_scores(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
