@@ -32,20 +32,20 @@ WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.group_id = v.group_id AND (w.f > v.f
 P4_FOUND = r"""
 WITH one AS (SELECT *, row_number() OVER (PARTITION BY transcript, line_no ORDER BY row_id) AS n FROM calls),
 t AS (
-  SELECT *, last_value(CASE WHEN moment > 1e11 THEN moment / 1000 ELSE moment END IGNORE NULLS) OVER (PARTITION BY transcript ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS at,
+  SELECT *, last_value(CASE WHEN moment > 1e11 THEN moment / 1000 ELSE moment END IGNORE NULLS) OVER (PARTITION BY transcript ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS ts_,
     lower(trim(session, ' ' || chr(9) || chr(10) || chr(13))) AS s FROM one WHERE n = 1),
 main AS (
-  SELECT s, at, line_no, transcript, tool_use_id,
+  SELECT s, ts_, line_no, transcript, tool_use_id,
     role = 'user' AND NOT coalesce(is_meta, false) AND regexp_matches(coalesce(prompt, ''), '[\p{L}\p{N}]') AS p,
     role = 'assistant' AND regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]') AS r,
     trim(coalesce(tool, '')) <> '' AS is_call, trim(coalesce(tool, '')) = '' AND (role = 'tool' OR tool_use_id IS NOT NULL) AS is_result
   FROM t WHERE agent = 'main'),
-talk AS (SELECT s, p, row_number() OVER w AS i, lead(p) OVER w AS nxt FROM main WHERE p OR r WINDOW w AS (PARTITION BY s ORDER BY at NULLS FIRST, line_no, transcript)),
+talk AS (SELECT s, p, row_number() OVER w AS i, lead(p) OVER w AS nxt FROM main WHERE p OR r WINDOW w AS (PARTITION BY s ORDER BY ts_ NULLS FIRST, line_no, transcript)),
 bad AS (
   SELECT s FROM talk WHERE (i = 1 AND NOT p) OR (p AND coalesce(nxt, true))
   UNION SELECT s FROM main WHERE (is_call OR is_result) AND tool_use_id IS NULL
   UNION SELECT s FROM (
-    SELECT s, tool_use_id, min(CASE WHEN is_call THEN (at, line_no, transcript) END) AS c, min(CASE WHEN is_result THEN (at, line_no, transcript) END) AS r
+    SELECT s, tool_use_id, min(CASE WHEN is_call THEN (ts_, line_no, transcript) END) AS c, min(CASE WHEN is_result THEN (ts_, line_no, transcript) END) AS r
     FROM main WHERE (is_call OR is_result) AND tool_use_id IS NOT NULL GROUP BY ALL) WHERE c IS NULL OR r IS NULL OR c >= r)
 SELECT s AS session FROM bad
 UNION SELECT s FROM t WHERE s <> '' AND s NOT IN (SELECT s FROM main WHERE p)
