@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from quern.plans import dedup, evaluation, ingest, retrieval, sessions, star, streams, textual, trust  # noqa: F401
+from quern.registry import QUERIES, TWINS
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(TWINS)
