@@ -63,10 +63,11 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     return where
 
 
-def items(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+def items(counts: DataFrame, sizes: list[tuple[str, int]]) -> DataFrame:
     """(pack_name, capacity_tokens, doc_id, piece_no, from_token, tokens, loss_tokens): whole documents, or pieces."""
     capacity = F.col("capacity_tokens")
-    each = counts.crossJoin(F.broadcast(sizes))  # a row a document and container size; sizes is bounded below
+    kinds = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(size).cast("long").alias("capacity_tokens")) for name, size in sizes])
+    each = counts.select("*", F.inline(kinds))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
     cut = each.select("pack_name", "capacity_tokens", "doc_id", F.col("tokens").alias("all"), F.col("loss_tokens").alias("all_loss"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
     start = F.col("piece_no") * capacity
@@ -81,9 +82,11 @@ MAX_SIZES = 1000
 def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY, lot: int = LOT, loss_share: float = LOSS_SHARE) -> DataFrame:
     """One row an item: where it is, and how full its container is."""
     counts = cut_lineage(token_counts(documents, vocabulary=vocabulary))
-    sizes = sizes.where("capacity_tokens >= 1").groupBy("pack_name").agg(F.max("capacity_tokens").cast("long").alias("capacity_tokens"))
-    if sizes.limit(MAX_SIZES + 1).count() > MAX_SIZES:
+    rows = sizes.where("capacity_tokens >= 1 and pack_name is not null").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity_tokens")).limit(MAX_SIZES + 1).collect()
+    if len(rows) > MAX_SIZES:
         raise ValueError(f"more than {MAX_SIZES} container sizes")
+    if not rows:
+        return documents.sparkSession.createDataFrame([], SCHEMA)
     lots = max(1, -(-counts.count() // lot))
 
     def fill(batch: pd.DataFrame) -> pd.DataFrame:
@@ -98,7 +101,7 @@ def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOC
         batch["container_id"] = batch["lot"].astype(str) + "-" + batch["container"].astype(str)
         return batch[COLUMNS]
 
-    lotted = items(counts, sizes).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(lots)))
+    lotted = items(counts, sorted((r.pack_name, r.capacity_tokens) for r in rows)).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(lots)))
     return lotted.groupBy("pack_name", "lot").applyInPandas(fill, SCHEMA)
 
 
