@@ -7,7 +7,8 @@ that differ in at most one word agree in a table that leaves that word out. Matc
 are candidates; their complete distance (the exact Jaccard similarity of the shingle sets) decides.
 
 At similarity 0.55, the lowest that occurs above the gap of this project's data, one segment catches a
-pair with probability 0.55^4 + 4 * 0.55^3 * 0.45 = 0.39, twenty segments with 1 - 0.61^20 > 0.9999.
+pair with probability 0.55^4 + 4 * 0.55^3 * 0.45 = 0.39; at least two of twenty-four segments catch it
+with probability 0.9999, and more similar pairs sooner.
 
 Texts with the same words are one class before any table is built, so groups of exact copies, however
 large, cost one row. Texts with fewer words than a shingle have no shingles and are in no pair.
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from quern.llm.components import components
 from quern.session import cut_lineage
 
-SEGMENTS, WORDS = 20, 4
+SEGMENTS, WORDS = 24, 4
+#: A candidate agrees in two tables at least: by itself, chance agreement in one table grows with the square of the collection.
+MATCHES = 2
 _word = re.compile(r"[^\W_]+")
 _seeded = np.random.default_rng(20240607)
 _mul = _seeded.integers(1, 2**63, SEGMENTS * WORDS, dtype=np.uint64) | np.uint64(1)
@@ -113,8 +116,10 @@ class NearDuplicates:
         chosen = prints.join(reps, "copy").where("id = rep").select("id", "shingles", "keys")
         self.chosen = chosen = cut_lineage(chosen)
         tables = chosen.select("id", F.explode("keys").alias("key"))
-        pairs = tables.alias("x").join(tables.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        sets = chosen.select("id", "shingles")
+        pairs = tables.alias("x").join(tables.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        pairs = cut_lineage(pairs.where(F.col("n") >= MATCHES).select("a", "b"))
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        sets = chosen.select("id", "shingles").join(asked, "id", "left_semi")
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
         score = F.col("common") / (F.col("total") - F.col("common"))
