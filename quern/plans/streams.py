@@ -1 +1,24 @@
-"""Queries."""
+"""Streaming jobs, drained, against batch SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quern.registry import query
+from quern.streaming import jobs
+
+
+@query("stm02_unique_events", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def unique_events(spark, d):
+    return jobs.unique_events(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stm04_fold_totals", "SELECT user_id, count(*) AS events, max(event_id) AS folded FROM events GROUP BY user_id")
+def fold_totals(spark, d):
+    return jobs.fold_totals(spark, d)
+
+
+@query("stm08_hourly_costs", "SELECT event_type, sum(n)::BIGINT AS n, round(sum(cost), 4) AS cost FROM (SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, sum(value) AS cost FROM events GROUP BY ALL) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY event_type")
+def hourly_costs(spark, d):
+    x = jobs.hourly_costs(spark, d)
+    return x.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("cost"), 4).alias("cost"))
