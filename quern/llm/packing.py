@@ -31,8 +31,11 @@ LOSS_SHARE = 1.0
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_capacity: int) -> np.ndarray:
-    """The container number of each item. Every item must fit an empty container."""
+    """The container number of each item; loss above what a container takes counts as that much. Longer items are an error."""
     n = len(tokens)
+    if n and tokens.max() > capacity:
+        raise ValueError("an item is larger than a container")
+    loss = np.minimum(loss, loss_capacity)
     order = np.lexsort((-loss, -tokens))
     t, s = tokens[order].astype(np.float64), loss[order].astype(np.float64)
     where = np.empty(n, dtype=np.int64)

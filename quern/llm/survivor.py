@@ -57,15 +57,16 @@ def skyline(df: DataFrame, keys: list[str], levels: int) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(F.col("recency").desc())
     later = w.rangeBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy(*keys, "recency")
-    least = F.lit(float("-inf"))
+    no = F.lit(False)
     out = df
     for k in range(levels):
         here = F.when(F.col("fullness") >= k, F.col("trust"))
-        out = out.withColumn(f"_later{k}", F.coalesce(F.max(here).over(later), least)).withColumn(f"_same{k}", F.coalesce(F.max(here).over(same), least))
+        out = out.withColumn(f"_later{k}", F.max(here).over(later)).withColumn(f"_same{k}", F.max(here).over(same))
     beaten = F.lit(False)
     for k in range(levels):
-        above = F.col(f"_same{k + 1}") if k + 1 < levels else least
-        beaten = F.when(F.col("fullness") == k, (F.col(f"_later{k}") >= F.col("trust")) | (F.col(f"_same{k}") > F.col("trust")) | (above >= F.col("trust"))).otherwise(beaten)
+        above = F.col(f"_same{k + 1}") >= F.col("trust") if k + 1 < levels else no
+        here = F.coalesce(F.col(f"_later{k}") >= F.col("trust"), no) | F.coalesce(F.col(f"_same{k}") > F.col("trust"), no) | F.coalesce(above, no)
+        beaten = F.when(F.col("fullness") == k, here).otherwise(beaten)
     return out.where(~beaten).drop(*[f"_later{k}" for k in range(levels)], *[f"_same{k}" for k in range(levels)])
 
 
