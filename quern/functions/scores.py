@@ -27,4 +27,4 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p = hits / size
     centre = (p + z * z / (2 * size)) / (1 + z * z / size)
     half = z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size)) / (1 + z * z / size)
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
