@@ -11,7 +11,7 @@ alternates: the windows of an abusive document that score highest now stand for
 log odds of their words), documents that contradict the network after a round are set aside, and the
 clean windows that score highest are shown most often.
 
-Defined results: null, blank and very short texts are scored like any other (padding fills the window);
+Defined results: a text without words (null, blank) scores 0, very short ones are padded to a window;
 documents with contradicting labels are not used for training; a word is read in lower case, with look-alike
 letters, spaced letters and repeated letters folded; without both labels nothing can be learnt, and
 every score is 0.
@@ -346,7 +346,10 @@ def _score_batch(texts: pd.Series, weights: dict | None) -> pd.Series:
         rows, owners, held = [], [], 0
 
     for i, text in enumerate(texts):
-        got = windows_of(book.ids(text))
+        ids = book.ids(text)
+        if not len(ids):  # no words, nothing to score: 0
+            continue
+        got = windows_of(ids)
         rows.append(got)
         owners.append(i)
         held += len(got)
