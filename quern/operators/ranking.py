@@ -5,13 +5,21 @@ Statistics are always those of the pool that is passed in: filter first, then ra
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scores import dot
 from quern.functions.text import tokens
+from quern.session import cut_lineage
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Rows of a block when many queries are scored at once.
+BLOCK = 1000
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -58,12 +66,127 @@ def cosine(vectors: DataFrame, id_col: str, vec_col: str, probe: DataFrame) -> D
     return vectors.crossJoin(F.broadcast(probe)).select(F.col(id_col).alias("id"), F.round(dot(vec_col, "q"), 4).alias("score"))
 
 
-def fuse(*lists: DataFrame) -> DataFrame:
+def packed(df: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """Up to ``rows`` neighbouring rows in one: every column becomes the array of its values."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                columns = [pa.concat_arrays([c]) for c in part.columns]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), c) for c in columns], names=part.schema.names)
+
+    return df.mapInArrow(pack, ", ".join(f"{name} array<{kind}>" for name, kind in df.dtypes))
+
+
+def _best(scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int | None, floor: float, slack: float) -> pa.RecordBatch:
+    """Of a block [ids, queries] what can be among the ``k`` best of a query, or at or above ``floor``, once scores are rounded; -inf is no score."""
+    keep = (scores > -np.inf) & (scores >= floor - slack)
+    if k is not None and len(ids) > k:
+        keep &= scores >= np.partition(scores, len(ids) - k, axis=0)[len(ids) - k] - slack
+    row, query = np.nonzero(keep)
+    return pa.RecordBatch.from_arrays([pa.array(queries[query], pa.int64()), pa.array(ids[row], pa.int64()), pa.array(scores[row, query], pa.float64())], names=["query", "id", "score"])
+
+
+def _flat(column: pa.Array) -> list[pa.Array]:
+    """The values of the (nested) array in the one row of ``column``: row lengths of the inner arrays, then their values."""
+    inner = column.flatten()
+    return [inner.value_lengths().to_numpy(zero_copy_only=False), inner.flatten()]
+
+
+def top_each(scores: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best (query, id, score) of every query with their ``rank``, by descending score, then id."""
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def cosine_each(vectors: DataFrame, id_col: str, vec_col: str, probes: DataFrame, k: int | None = None, floor: float = -np.inf) -> DataFrame:
+    """(query, id, score) of every row against every row (query, q) of ``probes``, in blocks; scores as in ``cosine``.
+
+    With ``k`` or ``floor`` at least the rows that are among the ``k`` best of a query, or reach the floor; null vectors have no score.
+    """
+    rows = packed(vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    asked = packed(probes.where("q is not null").select(F.col("query").cast("long").alias("query"), F.col("q").cast("array<double>").alias("q")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
+                ids, queries = (one[x].flatten().to_numpy() for x in ("id", "query"))
+                v, q = (_flat(one[x])[1].to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in (("v", len(ids)), ("q", len(queries))))
+                yield _best(np.nan_to_num(v @ q.T, nan=-np.inf), queries, ids, k, floor, 1e-4)
+
+    return rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 4))
+
+
+def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query, id, score) of the documents that hold a term of a row (query, text) of ``queries``, in blocks; scores as in ``bm25``.
+
+    With ``k`` at least the rows that are among the ``k`` best of a query.
+    """
+    words = lengths(docs, id_col, text_col)
+    size = F.broadcast(pool_size(words))
+    df = document_frequency(words).crossJoin(size).withColumn("idf", idf(F.col("df"), F.col("n")))
+    mean = F.broadcast(df.agg(F.avg("idf").alias("mean_idf")))
+    worth = df.crossJoin(mean).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
+    uses = queries.select(F.col("query").cast("long").alias("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+    # A term in just half of the pool is worth 0 and still makes a hit.
+    weight = F.when(F.col("idf") == 0, 1e-300).otherwise(F.col("times") * F.col("idf"))
+    asked = uses.join(worth, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights"))
+    rows = packed(words.select(F.col("id").cast("long").alias("id"), "words").where(F.size("words") > 0)).crossJoin(size.select("avgdl"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
+                ids, queries = (one[x].flatten().to_numpy() for x in ("id", "query"))
+                (long, held), (wide, terms), (_, weights) = _flat(one["words"]), _flat(one["terms"]), _flat(one["weights"])
+                scores = _bm25_block(held, long, terms, wide, weights.to_numpy(), one["avgdl"][0].as_py())
+                yield _best(np.where(scores == 0, -np.inf, scores), queries, ids, k, -np.inf, 1e-6)
+
+    return rows.crossJoin(cut_lineage(packed(asked))).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
+
+
+def _bm25_block(held: pa.Array, long: np.ndarray, terms: pa.Array, wide: np.ndarray, weights: np.ndarray, avgdl: float) -> np.ndarray:
+    """Scores [documents, queries]: words of the documents (``long`` of each) against weighted terms of the queries (``wide`` of each)."""
+    vocabulary = terms.unique()
+    n, m = len(long), len(wide)
+    term = terms.dictionary_encode().indices.to_numpy()
+    query = np.repeat(np.arange(m), wide)
+    at = pc.index_in(held, vocabulary)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    pair, tf = np.unique(np.repeat(np.arange(n), long)[known] * len(vocabulary) + at.drop_null().to_numpy(), return_counts=True)
+    doc, word = pair // len(vocabulary), pair % len(vocabulary)
+    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc] / avgdl))
+    out = np.zeros((n, m))
+    in_docs, in_queries = np.bincount(word, minlength=len(vocabulary)), np.bincount(term, minlength=len(vocabulary))
+    # Terms of many documents and queries are multiplied as matrices, the others pair by pair.
+    common = in_docs * in_queries > n * m // 50
+    for some in np.array_split(np.flatnonzero(common), max(1, common.sum() // 500)):
+        place = np.full(len(vocabulary), -1)
+        place[some] = np.arange(len(some))
+        a, b = np.zeros((n, len(some))), np.zeros((len(some), m))
+        x, y = place[word] >= 0, place[term] >= 0
+        a[doc[x], place[word[x]]] = part[x]
+        b[place[term[y]], query[y]] = weights[y]
+        out += a @ b
+    order = np.argsort(term, kind="stable")
+    first = np.cumsum(in_queries) - in_queries
+    rare = np.flatnonzero(~common[word])
+    for some in np.array_split(rare, max(1, in_queries[word[rare]].sum() // 5_000_000)):
+        times = in_queries[word[some]]
+        left = np.repeat(some, times)
+        right = order[np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[word[some]], times)]
+        out += np.bincount(doc[left] * m + query[right], part[left] * weights[right], n * m).reshape(n, m)
+    return out
+
+
+def fuse(*lists: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """Reciprocal rank fusion of (id, rank) lists: one union and one aggregation."""
-    out = lists[0].select("id", "rank")
+    out = lists[0].select(*by, "rank")
     for other in lists[1:]:
-        out = out.unionByName(other.select("id", "rank"))
-    return out.groupBy("id").agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 6).alias("score"))
+        out = out.unionByName(other.select(*by, "rank"))
+    return out.groupBy(*by).agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 6).alias("score"))
 
 
 def collapse(units: DataFrame, parent: str) -> DataFrame:

@@ -180,6 +180,68 @@ def leading_hit(spark, d):
     return best.join(second, "query").where("score >= 0.2 and score - next >= 0.05").select("query", "id", "score", F.round(F.col("score") - F.col("next"), 4).alias("margin"))
 
 
+# The same searches for every row whose id is a multiple of EVERY, against all rows, the row itself too.
+# The queries above keep the one probe (and buckets of ids as "queries") that their SQL twins state.
+EVERY = 100
+BM25_EACH = STATS + f"""q AS (SELECT id AS query, term, tf AS times FROM each WHERE id % {EVERY} = 0),
+terms AS (SELECT query, i.term, q.times, CASE WHEN i.idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idfs) ELSE i.idf END AS idf FROM idfs i JOIN q USING (term)),
+scores AS (SELECT t.query, e.id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w.w) / avgdl))), 6) AS score FROM each e JOIN terms t USING (term) JOIN words w ON w.id = e.id, size GROUP BY t.query, e.id)"""
+COS_EACH = f"cos AS (SELECT p.query, e.vec_id AS id, round({DOT}, 4) AS score FROM embeddings e, (SELECT vec_id AS query, embedding AS q FROM embeddings WHERE vec_id % {EVERY} = 0) p)"
+IN_EACH = "row_number() OVER (PARTITION BY query ORDER BY score DESC, id)"
+
+
+def _bm25_each(spark, d, k):
+    docs = _docs(spark, d)
+    return ranking.bm25_each(docs, "doc_id", "text", docs.where(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query"), "text"), k)
+
+
+def _cosines_each(spark, d, k=None, floor=float("-inf")):
+    vectors = table(spark, d, "embeddings")
+    probes = vectors.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    return ranking.cosine_each(vectors, "vec_id", "embedding", probes, k, floor)
+
+
+@query("ret01_bm25_topk_each", f"WITH {BM25_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM scores QUALIFY rank <= 20")
+def bm25_topk_each(spark, d):
+    return ranking.top_each(_bm25_each(spark, d, 20), 20)
+
+
+@query("mth05_cosine_topk_each", f"WITH {COS_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM cos QUALIFY rank <= 20")
+def cosine_topk_each(spark, d):
+    return ranking.top_each(_cosines_each(spark, d, 20), 20)
+
+
+@query("win02_hybrid_rrf_each", f"WITH {BM25_EACH}, {COS_EACH}, a AS (SELECT query, id, {IN_EACH} AS rank FROM scores QUALIFY rank <= 200), b AS (SELECT query, id, {IN_EACH} AS rank FROM cos QUALIFY rank <= 200), f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query, id) SELECT query, id, score, {IN_EACH} AS rank FROM f QUALIFY rank <= 50")
+def hybrid_rrf_each(spark, d):
+    """Both lists of every query at candidate depth 200, fused, top 50; a query with a text or a vector only has one list."""
+    a, b = ranking.top_each(_bm25_each(spark, d, 200), 200), ranking.top_each(_cosines_each(spark, d, 200), 200)
+    return ranking.top_each(ranking.fuse(a, b, by=("query", "id")), 50)
+
+
+SELECTED_EACH = f"WITH {COS_EACH}, t AS (SELECT *, max(score) OVER (PARTITION BY query) AS top, {IN_EACH} AS place FROM cos), k AS (SELECT query, id, score, {IN_EACH} AS rank FROM t WHERE (score >= 0.2 OR (place = 1 AND score >= 0.18)) AND score >= top - 0.5)"
+
+
+def _selected_each(spark, d):
+    return ranking.select_rows(_cosines_each(spark, d, floor=0.18), 0.2, 0.5)
+
+
+@query("fil07_floor_window_rescue_each", f"{SELECTED_EACH} SELECT * FROM k")
+def floor_window_rescue_each(spark, d):
+    return _selected_each(spark, d)
+
+
+@query("win14_hub_demotion_each", f"{SELECTED_EACH}, f AS (SELECT *, id % 3 = 0 AS hub FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY query, hub ORDER BY rank) AS i FROM f) SELECT query, id, score, hub, row_number() OVER (PARTITION BY query ORDER BY hub, rank) AS rank FROM n WHERE NOT hub OR i <= 2")
+def hub_demotion_each(spark, d):
+    return ranking.demote(_selected_each(spark, d).withColumn("hub", F.col("id") % 3 == 0), "hub", 2).select("query", "id", "score", "hub", "rank")
+
+
+@query("top09_leading_hit_each", f"WITH {COS_EACH}, t AS (SELECT *, {IN_EACH} AS place, lead(score) OVER (PARTITION BY query ORDER BY score DESC, id) AS next FROM cos) SELECT query, id, score, round(score - next, 4) AS margin FROM t WHERE place = 1 AND score >= 0.2 AND score - next >= 0.05")
+def leading_hit_each(spark, d):
+    rows = ranking.top_each(_cosines_each(spark, d, 2), 2)
+    both = rows.groupBy("query").agg(*[F.max(F.when(F.col("rank") == n, F.col(c))).alias(to) for n, c, to in ((1, "id", "id"), (1, "score", "score"), (2, "score", "next"))])
+    return both.where("score >= 0.2 and score - next >= 0.05").select("query", "id", "score", F.round(F.col("score") - F.col("next"), 4).alias("margin"))
+
+
 @query("str12_excerpt", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), s AS (SELECT doc_id, pos, line, len(list_filter(list_distinct(" + TOK.format("line") + "), lambda t: list_contains(['stale', 'lockfile', 'lease', 'table'], t))) AS hits FROM l) SELECT doc_id, max(hits) AS hits, arg_max(line, (hits, -pos)) AS line FROM s GROUP BY doc_id HAVING max(hits) > 0")
 def excerpt(spark, d):
     """The line of each document with the most query terms, the first of equals."""

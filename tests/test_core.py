@@ -44,6 +44,29 @@ def test_fusion_and_ties(spark):
     assert [r.id for r in rows] == [1, 2] and rows[0].score == rows[1].score
 
 
+def test_every_query_is_searched(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(ranking, "BLOCK", 7)
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(r.choice(["the", "lease", "table", "stale", f"w{i % 9}"]) for _ in range(r.randint(0, 12)))) for i in range(40)] + [(40, None)], "id long, t string")
+    asked = {0: "stale lease lease", 20: "w3 the", 30: "unseen"}
+    got = ranking.top_each(ranking.bm25_each(docs, "id", "t", spark.createDataFrame(list(asked.items()), "query long, text string"), 5), 5)
+    rows = {}
+    for x in got.collect():
+        rows.setdefault(x.query, []).append((x.rank, x.id, x.score))
+    for q, t in asked.items():
+        want = [(x.rank, x.id, x.score) for x in ranking.ranked(ranking.bm25(docs, "id", "t", t), 5).collect()]
+        assert sorted(rows.get(q, [])) == [(a, b, pytest.approx(c, abs=2e-6)) for a, b, c in sorted(want)]
+    vectors = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(30)] + [(30, None)], "id long, v array<float>")
+    probes = vectors.where("id % 10 = 0").selectExpr("id as query", "v as q")
+    near = ranking.top_each(ranking.cosine_each(vectors, "id", "v", probes, 4), 4)
+    for q in (0, 10, 20):
+        want = ranking.ranked(ranking.cosine(vectors.where("v is not null"), "id", "v", probes.where(F.col("query") == q).select("q")), 4)
+        assert near.where(F.col("query") == q).select("id", "score", "rank").orderBy("rank").collect() == want.orderBy("rank").collect()
+    assert near.where("query = 30").count() == 0
+
+
 def test_trust_and_wilson(spark):
     row = spark.range(1).select(scores.trust(F.lit(0.5), F.lit(10), F.lit(8.0), F.lit(1)).alias("t"), *[c.alias(n) for c, n in zip(scores.wilson(F.lit(0), F.lit(0)), "ab")]).first()
     assert row.t == pytest.approx((5 + 6) / 20) and row.a is None and row.b is None
