@@ -13,7 +13,8 @@ clean windows that score highest are shown most often.
 
 Defined results: a text without words (null, blank) scores 0, very short ones are padded to a window;
 documents with contradicting labels are not used for training; a word is read in lower case, with look-alike
-letters, spaced letters and repeated letters folded; without both labels nothing can be learnt, and
+letters, digits for letters, spaced letters and repeated letters folded, and only numbers and hashes are read as one
+token each; without both labels nothing can be learnt, and
 every score is 0.
 """
 
@@ -45,6 +46,8 @@ _break = {i: " " for i in range(128) if not chr(i).isalnum() and chr(i) not in _
 _break.update(dict.fromkeys((0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))  # invisible characters vanish
 _break_ascii = "".join(_break.get(i) or chr(i) for i in range(128))
 _edges = re.compile(r"^[^\w*@$]+|[^\w*]+$")
+#: Certainly a hash: hexadecimal, two digits or more, and of digest length or with a digit that stands for no letter.
+_hash = re.compile(r"(?=(?:.*[0-9]){2})(?:[0-9a-f]{16,}|(?=.*[2689])[0-9a-f]{7,15})")
 _runs = re.compile(r"(.)\1{2,}")
 PAD = ""
 
@@ -59,8 +62,7 @@ def canonical(word: str) -> str:
         if any("a" <= c <= "z" for c in word) or all(ord(c) in LOOKALIKES for c in word):
             word = word.translate(LOOKALIKES)
     if not word.isalpha() and "*" not in word:
-        digits = sum(c.isdigit() for c in word)
-        if digits and (len(word) > 12 or digits * 2 > len(word)):
+        if _hash.fullmatch(word):
             return "0a"
         word = word.translate(LEET)
     return _runs.sub(r"\1", word).replace("’", "'")

@@ -237,6 +237,14 @@ def test_network_learns_and_spellings_fold():
     assert abuse.train(["a"], [True]) is None
 
 
+def test_digits_for_letters_are_no_hash():
+    for word, form in (("53x", "sex"), ("455h0l3", "asshole"), ("1d10t", "idiot"), ("m0therfucking5", "motherfuckings"), ("donaudampfschiff4hrt", "donaudampfschiffahrt")):
+        assert abuse.canonical(word) == form
+    for word in ("9f86d08", "3f2a9c41d7be", "a94a8fe5ccb19ba61c4c0873d391e987982fbbd3"):
+        assert abuse.canonical(word) == "0a"
+    assert abuse.canonical("20260512") == "0"
+
+
 def test_gradients():
     net = abuse.Network(1)
     words = ["", "alpha", "beta", "gamma"]
