@@ -1,6 +1,7 @@
 """Problem 8: abusive, hateful or sexual content, scored by a bidirectional gated recurrent network.
 
-Every text is read whole, in overlapping windows of ``WINDOW`` words. A word enters as the mean of rows of
+Every text is read whole, in all its overlapping windows of ``WINDOW`` words: one begins at every word, in
+training as in scoring. A word enters as the mean of rows of
 one table, picked by hashes of the word and of its character trigrams, so spellings that were never seen
 still have a vector. Two gated recurrent layers read a window in both directions, attention pools their
 states, and a logistic unit scores it; the score of a document is that of its worst window.
@@ -23,6 +24,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -32,11 +34,13 @@ from pyspark.sql import functions as F
 
 from quern.llm.mixing import source_name
 
-WINDOW, STRIDE = 32, 24
+WINDOW = 32
 WIDTH, STATE, ROWS = 24, 16, 8192
 MAX_LABELLED = 5000
 THRESHOLD = 0.5
 ROUNDS, STEPS, BATCH = 3, 130, 256
+#: So many neighbouring windows weigh as one when windows are drawn for training; all of them can be drawn.
+CELL = 24
 
 #: Letters of other alphabets that look like Latin ones (fixed values).
 LOOKALIKES = str.maketrans("аесорхуіјѕԁһкмтвнαεορτυνκι", "aecopxyijsdhkmtbhaeoptuvki")
@@ -97,15 +101,22 @@ def features(word: str) -> list[int]:
     return [1 + zlib.crc32(g.encode(errors="surrogatepass")) % (ROWS - 1) for g in grams]
 
 
+def padded(ids: np.ndarray) -> np.ndarray:
+    """At least one window of words; 0 is padding."""
+    return ids if len(ids) >= WINDOW else np.pad(ids, (0, WINDOW - len(ids)))
+
+
 def windows_of(ids: np.ndarray) -> np.ndarray:
-    """All windows of a text, the last one at its end: an array [windows, WINDOW]; 0 is padding."""
-    n = len(ids)
-    if n <= WINDOW:
-        out = np.zeros((1, WINDOW), dtype=np.int32)
-        out[0, :n] = ids
-        return out
-    starts = np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-    return ids[starts[:, None] + np.arange(WINDOW)]
+    """All windows of a text: an array [windows, WINDOW]."""
+    return np.lib.stride_tricks.sliding_window_view(padded(ids.astype(np.int32)), WINDOW)
+
+
+def stream_of(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts end to end, where their windows begin, and the place in ``texts`` that each window belongs to."""
+    each = [padded(x) for x in texts]
+    count = np.array([len(x) - WINDOW + 1 for x in each])
+    owner = np.repeat(np.arange(len(each)), count)
+    return np.concatenate(each), np.arange(count.sum()) + (WINDOW - 1) * owner, owner
 
 
 class Words:
@@ -155,8 +166,19 @@ class Network:
 
     def score(self, projected: np.ndarray, windows: np.ndarray) -> np.ndarray:
         """The probability of each window; ``projected`` is the table that ``projections`` gave."""
+        return self._score(projected, len(windows), lambda side, t: side[windows[:, t]])
+
+    def score_stream(self, projected: np.ndarray, stream: np.ndarray, starts: np.ndarray, block: int = 2048) -> np.ndarray:
+        """The probability of the windows of ``stream`` that begin at ``starts`` (in order); a word is looked up once for all of its windows."""
+        out = np.empty(len(stream) - WINDOW + 1, np.float32)
+        for at in range(0, len(out), block):
+            n = min(block, len(out) - at)
+            out[at : at + n] = self._score(projected[stream[at : at + n + WINDOW - 1]], n, lambda side, t, n=n: side[t : t + n])
+        return out[starts]
+
+    def _score(self, projected: np.ndarray, n: int, step: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+        """``step`` gives the gate inputs of ``n`` windows at a place in them."""
         h = STATE
-        n = len(windows)
         logits = np.zeros((WINDOW, n), np.float32)
         pooled = np.zeros((WINDOW, n), np.float32)
         for k in (0, 1):
@@ -167,7 +189,7 @@ class Network:
             ur, un, both = np.ascontiguousarray(ur), np.ascontiguousarray(un), np.stack([att, out], axis=1)
             state = np.zeros((n, h), np.float32)
             for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
-                x = side[windows[:, t]]
+                x = step(side, t)
                 gate = state @ ur
                 gate += x[:, : 2 * h]
                 np.tanh(gate, out=gate)
@@ -260,10 +282,10 @@ def train(texts: list[str | None], abusive: list[bool], seed: int = 5, rounds: i
         return None
     random = np.random.default_rng(seed)
     book = Words()
-    each = [windows_of(book.ids(t)) for t in texts]
+    each = [book.ids(t) for t in texts]
     forms = list(book.form)
-    windows = np.concatenate(each)
-    doc = np.repeat(np.arange(len(each)), [len(w) for w in each])
+    stream, starts, doc = stream_of(each)
+    cell = np.cumsum((np.arange(len(doc)) - np.searchsorted(doc, doc)) % CELL == 0) - 1
     bad_doc = np.array(abusive)
     # Log odds of a word by the documents it is in; a window's first score is the sum of its strongest words.
     seen = np.zeros((2, len(forms)))
@@ -272,7 +294,8 @@ def train(texts: list[str | None], abusive: list[bool], seed: int = 5, rounds: i
     odds = np.log((seen[1] + 0.3) / (bad_doc.sum() + 0.6)) - np.log((seen[0] + 0.3) / ((~bad_doc).sum() + 0.6))
     odds[odds < 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))] = 0
     odds[0] = 0
-    scores = np.sort(odds[windows], axis=1)[:, -6:].sum(axis=1)
+    told = odds[stream]
+    scores = np.concatenate([np.partition(told[starts[k : k + 65536, None] + np.arange(WINDOW)], -6, axis=1)[:, -6:].sum(axis=1) for k in range(0, len(starts), 65536)])
     net = Network(seed)
     off = np.zeros(len(each), dtype=bool)
     for turn in range(rounds):
@@ -287,13 +310,15 @@ def train(texts: list[str | None], abusive: list[bool], seed: int = 5, rounds: i
         if not len(bad) or not len(good):
             return None
         hard = good[np.argsort(-scores[good], kind="stable")][: max(BATCH, len(good) // 8)]
+        weights = [np.cumsum(1 / np.bincount(cell[x])[cell[x]]) for x in (bad, good)]
+        draw = lambda x, w, n: x[np.searchsorted(w, random.random(n) * w[-1], side="right").clip(max=len(x) - 1)]
         for i in range(steps):
             third = BATCH // 3
-            at = np.concatenate([random.choice(bad, third), random.choice(hard, third), random.choice(good, BATCH - 2 * third)])
-            used, places = np.unique(windows[at], return_inverse=True)
+            at = np.concatenate([draw(bad, weights[0], third), random.choice(hard, third), draw(good, weights[1], BATCH - 2 * third)])
+            used, places = np.unique(stream[starts[at][:, None] + np.arange(WINDOW)], return_inverse=True)
             net.step([forms[j] for j in used], places.reshape(BATCH, WINDOW), (bad_doc[doc[at]]).astype(np.float32), 0.01 if turn < rounds - 1 or i < steps // 2 else 0.003)
-        projected = net.projections(forms)
-        scores = np.concatenate([net.score(projected, windows[k : k + 4096]) for k in range(0, len(windows), 4096)])
+        if turn < rounds - 1:
+            scores = net.score_stream(net.projections(forms), stream, starts)
     return net
 
 
@@ -342,20 +367,18 @@ def _score_batch(texts: pd.Series, weights: dict | None) -> pd.Series:
         have = len(_state["projected"])
         if have < len(book.form):
             _state["projected"] = np.concatenate([_state["projected"], net.projections(list(book.form)[have:]).astype(np.float32)])
-        windows, owner = np.concatenate(rows), np.repeat(owners, [len(r) for r in rows])
-        for k in range(0, len(windows), 2048):
-            np.maximum.at(out, owner[k : k + 2048], net.score(_state["projected"], windows[k : k + 2048]))
+        stream, starts, place = stream_of(rows)
+        np.maximum.at(out, np.array(owners)[place], net.score_stream(_state["projected"], stream, starts))
         rows, owners, held = [], [], 0
 
     for i, text in enumerate(texts):
         ids = book.ids(text)
         if not len(ids):  # no words, nothing to score: 0
             continue
-        got = windows_of(ids)
-        rows.append(got)
+        rows.append(ids)
         owners.append(i)
-        held += len(got)
-        if held >= 8192:
+        held += len(ids)
+        if held >= 65536:
             flush()
     flush()
     return pd.Series(out)

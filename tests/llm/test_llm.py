@@ -263,6 +263,20 @@ def test_windows_cover_everything():
         assert set(range(1, n + 1)) <= set(w.ravel().tolist()) and w.shape[1] == abuse.WINDOW
 
 
+def test_every_phrase_lies_whole_in_a_window():
+    text = np.arange(1, 201)
+    for n in (40, 33, 200):
+        assert abuse.windows_of(text[:n]).tolist() == [list(range(i, i + abuse.WINDOW)) for i in range(1, n - abuse.WINDOW + 2)]
+    net, words = abuse.Network(3), ["", *(f"w{i}" for i in range(1, 201))]
+    table = net.projections(words)
+    texts = [text[:5], text, text[60:93], text[:0]]
+    stream, starts, owner = abuse.stream_of(texts)
+    together = net.score_stream(table, stream, starts, block=50)
+    assert owner.tolist() == sorted(owner.tolist()) and np.bincount(owner).tolist() == [1, 169, 2, 1]
+    for i, t in enumerate(texts):
+        assert np.allclose(together[owner == i], net.score(table, abuse.windows_of(t)), atol=1e-6)
+
+
 def test_token_round_trip():
     enc = tokens.encoder(tokens.VOCABULARY)
     for t in ("Grüße, 世界 🙂\r\n", "<|endoftext|>", " "):
