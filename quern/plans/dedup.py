@@ -37,6 +37,18 @@ def veto_antijoin(spark, d):
     return _pairs(spark, d, 0.3).select("a", "b", "score").join(v.select("a").distinct(), "a", "left_anti").join(v.select("b").distinct(), "b", "left_anti").select("a", "b", "score")
 
 
+@query("joi06_veto_pairs", f"WITH {PAIRS}, veto AS (SELECT DISTINCT least(memory_a, memory_b) AS a, greatest(memory_a, memory_b) AS b FROM verdicts WHERE upper(trim(verdict)) = 'CONTRADICT') SELECT a, b, score FROM pairs WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM veto WHERE veto.a = pairs.a AND veto.b = pairs.b)")
+def veto_pairs(spark, d):
+    """The pairs that no veto names, by both ends and whole ids; ``joi06_veto_antijoin`` keeps the folded ids of its SQL twin."""
+    return without_vetoes(_pairs(spark, d, 0.3), table(spark, d, "verdicts")).select("a", "b", "score")
+
+
+def without_vetoes(pairs, verdicts):
+    """Drops the ordered pairs (a, b) that were judged CONTRADICT, in either order."""
+    v = verdicts.where(F.upper(F.trim("verdict")) == "CONTRADICT").select(F.least("memory_a", "memory_b").alias("a"), F.greatest("memory_a", "memory_b").alias("b"))
+    return pairs.join(v.distinct(), ["a", "b"], "left_anti")
+
+
 @query("agg27_verdict_tally", "SELECT upper(trim(verdict)) AS verdict, judged_at::DATE AS day, count(*) AS n, round(sum(coalesce(cost, 0)), 6) AS cost, sum(prompt_tokens + completion_tokens)::BIGINT AS tokens FROM (SELECT DISTINCT * FROM verdicts) GROUP BY ALL")
 def verdict_tally(spark, d):
     x = table(spark, d, "verdicts").distinct()

@@ -67,6 +67,15 @@ def test_every_query_is_searched(spark, monkeypatch):
     assert near.where("query = 30").count() == 0
 
 
+def test_a_veto_names_a_pair(spark):
+    from quern.plans import dedup
+
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (501, 502), (600, 700)], "a long, b long")
+    verdicts = spark.createDataFrame([(2, 1, "contradict "), (700, 600, "CONTRADICT"), (1, 3, "MERGE"), (1, 9, "CONTRADICT")], "memory_a long, memory_b long, verdict string")
+    assert sorted(tuple(r) for r in dedup.without_vetoes(pairs, verdicts).collect()) == [(1, 3), (2, 3), (501, 502)]
+    assert "joi06_veto_pairs" in catalogue.queries()
+
+
 def test_trust_and_wilson(spark):
     row = spark.range(1).select(scores.trust(F.lit(0.5), F.lit(10), F.lit(8.0), F.lit(1)).alias("t"), *[c.alias(n) for c, n in zip(scores.wilson(F.lit(0), F.lit(0)), "ab")]).first()
     assert row.t == pytest.approx((5 + 6) / 20) and row.a is None and row.b is None
