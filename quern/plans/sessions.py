@@ -57,6 +57,24 @@ def range_join(spark, d):
     return c.join(j, "transcript").where("line_no between low and low + 20").groupBy("transcript").agg(F.count(F.lit(1)).alias("covered"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
 
 
+JOB = 20
+
+
+@query("joi07_range_jobs", f"WITH {ONE}, e AS (SELECT transcript, min(line_no) AS low, max(line_no) AS high FROM c GROUP BY transcript), j AS (SELECT transcript, unnest(generate_series(low, high, {JOB})) AS first_line FROM e) SELECT j.transcript, j.first_line, count(*) AS covered, sum(coalesce(length(text), 0))::BIGINT AS chars FROM j JOIN c ON c.transcript = j.transcript AND c.line_no BETWEEN j.first_line AND j.first_line + {JOB - 1} GROUP BY ALL")
+def range_jobs(spark, d):
+    """Every transcript in consecutive jobs of ``JOB`` lines; ``joi07_range_join`` keeps the one job of its SQL twin."""
+    c = _calls(spark, d)
+    j = c.groupBy("transcript").agg(F.min("line_no").alias("low"), F.max("line_no").alias("high")).select("transcript", F.expr(f"explode(sequence(low, high, {JOB}L))").alias("first_line"))
+    return in_ranges(c.select("transcript", "line_no", "text"), j.withColumn("last_line", F.col("first_line") + JOB - 1)).groupBy("transcript", "first_line").agg(F.count(F.lit(1)).alias("covered"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
+
+
+def in_ranges(lines, ranges):
+    """Each line beside every range of its transcript that holds it; joined by cells of ``JOB`` lines, so a long transcript is not paired with itself."""
+    cell = lambda c: F.floor(F.col(c) / JOB)
+    touched = ranges.withColumn("cell", F.explode(F.sequence(cell("first_line"), cell("last_line"))))
+    return lines.withColumn("cell", cell("line_no")).join(touched, ["transcript", "cell"]).where("line_no between first_line and last_line").drop("cell")
+
+
 @query("agg16_busy_share", "WITH t AS (SELECT user_id, ts AS a, ts + to_seconds((10 + value)::BIGINT) AS b FROM events WHERE value >= 0), n AS (SELECT max(ts) AS hi, max(ts) - INTERVAL 1 DAY AS lo FROM events) SELECT user_id, sum(greatest(0, epoch(least(b, hi))::BIGINT - epoch(greatest(a, lo))::BIGINT))::BIGINT AS busy FROM t, n WHERE b > lo GROUP BY user_id".replace("epoch(least(b, hi))::BIGINT", "floor(epoch(least(b, hi)))::BIGINT").replace("epoch(greatest(a, lo))::BIGINT", "floor(epoch(greatest(a, lo)))::BIGINT").replace("(10 + value)::BIGINT", "floor(10 + value)::BIGINT"))
 def busy_share(spark, d):
     """Seconds of work of the last day, clipped at its borders."""

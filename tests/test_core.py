@@ -76,6 +76,18 @@ def test_a_veto_names_a_pair(spark):
     assert "joi06_veto_pairs" in catalogue.queries()
 
 
+def test_ranges_reach_every_line(spark):
+    from quern.plans import sessions
+
+    lines = spark.range(3, 1003).selectExpr("'t' as transcript", "id as line_no")
+    ranges = spark.createDataFrame([("t", 3, 22), ("t", 23, 42), ("t", 40, 990), ("u", 3, 22)], "transcript string, first_line long, last_line long")
+    got = {r.first_line: r["count"] for r in sessions.in_ranges(lines, ranges).groupBy("first_line").count().collect()}
+    assert got == {3: 20, 23: 20, 40: 951}
+    if os.path.isdir(DATA):
+        covered = catalogue.queries()["joi07_range_jobs"](spark, DATA).agg(F.sum("covered")).first()[0]
+        assert covered == sessions._calls(spark, DATA).count()
+
+
 def test_trust_and_wilson(spark):
     row = spark.range(1).select(scores.trust(F.lit(0.5), F.lit(10), F.lit(8.0), F.lit(1)).alias("t"), *[c.alias(n) for c, n in zip(scores.wilson(F.lit(0), F.lit(0)), "ab")]).first()
     assert row.t == pytest.approx((5 + 6) / 20) and row.a is None and row.b is None
