@@ -34,6 +34,25 @@ def scan_plan(spark, d):
     return tables.scan_plan(old, new, ["root", "path"])
 
 
+CUT = "cut AS (SELECT (epoch_us(min(updated_at)) + epoch_us(max(updated_at))) // 2 AS mid FROM memories), r AS (SELECT root, path, rev, content_hash, deleted_at IS NOT NULL AS gone, row_number() OVER (PARTITION BY root, path ORDER BY rev DESC, content_hash DESC) AS down, epoch_us(updated_at) <= mid AS early FROM memories, cut), o AS (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY rev DESC, content_hash DESC) AS up FROM r WHERE early), "
+
+
+@query("idx01_scan_plan_cut", f"WITH {CUT} b AS (SELECT * FROM o WHERE up = 1), a AS (SELECT * FROM r WHERE down = 1 AND NOT gone), j AS (SELECT coalesce(a.root, b.root) AS root, coalesce(a.path, b.path) AS path, b.content_hash AS oh, b.gone AS wg, a.content_hash AS nh FROM b FULL JOIN a ON a.root = b.root AND a.path = b.path), lost AS (SELECT oh, row_number() OVER (PARTITION BY oh ORDER BY root, path) AS i FROM j WHERE nh IS NULL AND NOT wg), fresh AS (SELECT *, row_number() OVER (PARTITION BY nh ORDER BY root, path) AS i FROM j WHERE oh IS NULL) SELECT root, path, CASE WHEN lost.i IS NULL THEN 'insert' ELSE 'move' END AS op FROM fresh LEFT JOIN lost ON lost.oh = fresh.nh AND lost.i = fresh.i UNION ALL SELECT root, path, CASE WHEN nh IS NULL THEN CASE WHEN wg THEN 'same' ELSE 'delete' END WHEN wg THEN 'revive' WHEN oh <> nh THEN 'update' ELSE 'same' END FROM j WHERE oh IS NOT NULL")
+def scan_plan_cut(spark, d):
+    """The state at the middle of ``updated_at`` against the last one, of all notes; ``idx01_scan_plan`` keeps the thinned snapshots of its SQL twin."""
+    old, new = snapshots(table(spark, d, "memories"))
+    return tables.scan_plan(old, new, ["root", "path"])
+
+
+def snapshots(memories):
+    """(before, after): the newest version of every path up to the middle of ``updated_at``, and that of all that live at the end."""
+    m = memories.select("root", "path", "rev", "content_hash", F.col("deleted_at").isNotNull().alias("gone"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("us"))
+    cut = F.broadcast(m.agg(F.expr("(min(us) + max(us)) div 2").alias("cut")))
+    early = m.crossJoin(cut).where("us <= cut").drop("us", "cut")
+    newest = lambda x: x.groupBy("root", "path").agg(F.max_by(F.struct("rev", "content_hash", "gone"), F.struct("rev", "content_hash")).alias("r")).select("root", "path", "r.*")
+    return newest(early), newest(m.drop("us")).where("not gone")
+
+
 @query("fil21_shrink_guard", "WITH x AS (SELECT root, count(*) AS live, count(*) FILTER (archived_at IS NOT NULL OR deleted_at IS NOT NULL) AS deletes FROM memories GROUP BY root) SELECT root, live, deletes, CASE WHEN live < 10 THEN deletes > 1 ELSE deletes > 0.1 * live END AS blocked FROM x")
 def shrink_guard(spark, d):
     x = table(spark, d, "memories").groupBy("root").agg(F.count(F.lit(1)).alias("live"), F.count_if(~tables.live()).alias("deletes"))

@@ -88,6 +88,18 @@ def test_ranges_reach_every_line(spark):
         assert covered == sessions._calls(spark, DATA).count()
 
 
+def test_snapshots_hold_every_path(spark):
+    from quern.plans import ingest
+
+    data = [("r", f"p{i}", i, f"h{i}", None, f"2026-01-0{1 + i % 3}") for i in range(15)] + [("r", "p0", 99, "new", None, "2026-01-03"), ("r", "p3", 99, "h3", "2026-01-03", "2026-01-03")]
+    m = spark.createDataFrame(data, "root string, path string, rev long, content_hash string, deleted_at string, updated_at string").withColumn("updated_at", F.expr("to_timestamp_ntz(updated_at)"))
+    old, new = ingest.snapshots(m)
+    assert {r.path for r in old.collect()} == {f"p{i}" for i in range(15) if i % 3 < 2}
+    assert {r.path for r in new.collect()} == {f"p{i}" for i in range(15) if i != 3}
+    got = {r.path: r.op for r in tables.scan_plan(old, new, ["root", "path"]).collect()}
+    assert got["p0"] == "update" and got["p3"] == "delete" and got["p2"] == "insert" and got["p6"] == "same"
+
+
 def test_trust_and_wilson(spark):
     row = spark.range(1).select(scores.trust(F.lit(0.5), F.lit(10), F.lit(8.0), F.lit(1)).alias("t"), *[c.alias(n) for c, n in zip(scores.wilson(F.lit(0), F.lit(0)), "ab")]).first()
     assert row.t == pytest.approx((5 + 6) / 20) and row.a is None and row.b is None
