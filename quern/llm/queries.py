@@ -56,8 +56,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
-    got = pii.scan(pii.records_of(table(spark, d, "entries"), table(spark, d, "memory_chunks")), table(spark, d, "name_parts"))
-    return got.select("src", "row_id", "clean", "redacted").distinct()
+    got = pii.redacted(pii.records_of(table(spark, d, "entries"), table(spark, d, "memory_chunks")), table(spark, d, "name_parts"))
+    return got.select("src", "row_id", "clean", "redacted")
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -158,7 +158,9 @@ def test_pii(spark):
     e = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "entry_id long, text string, redacted boolean")
     c = spark.createDataFrame([], "chunk_id long, search_text string")
     parts = spark.createDataFrame([(x, "given") for x in given] + [(x, "family") for x in family], "part_text string, part_kind string")
-    got = {r.row_id: r for r in pii.scan(pii.records_of(e, c), parts).collect()}
+    got = {r.row_id: r for r in pii.redacted(pii.records_of(e, c), parts).collect()}
+    joined = {r.row_id: r for r in pii.redacted(pii.records_of(e, c), parts, entries=0).collect()}
+    assert joined == got  # a lexicon that is joined and not sent gives the same
     by = {texts[i]: r.kinds for i, r in got.items() if texts[i]}
     assert by["I paired with Zorro Stone today"] == ["name"] and by["Signed-off-by: Anna Unlisted"] == ["name"]
     assert by["mail a.b@mail.example now"] == ["email"] and by["call (206) 555-0101 now"] == ["phone"]
