@@ -231,6 +231,7 @@ def test_network_learns_and_spellings_fold():
         texts.append(" ".join(words))
         bad.append(label)
     net = abuse.train(texts[:180], bad[:180], steps=60)
+    assert net is not None
     import pandas as pd
 
     abuse._state.clear()
@@ -247,36 +248,76 @@ def test_digits_for_letters_are_no_hash():
     assert abuse.canonical("20260512") == "0"
 
 
-def test_gradients():
-    net = abuse.Network(1)
-    words = ["", "alpha", "beta", "gamma"]
-    w = np.random.default_rng(0).integers(0, 4, (3, abuse.WINDOW))
-    y = np.array([1, 0, 1], np.float32)
-    loss = lambda: float(-np.mean(y * np.log(net.score(net.projections(words), w) + 1e-7) + (1 - y) * np.log(1 - net.score(net.projections(words), w) + 1e-7)))
-    before = loss()
-    for _ in range(30):
-        net.step(words, w, y, 0.01)
-    assert loss() < before * 0.8
+def _batch(net, texts):
+    _, places, inside, allowed = abuse.chunks_of(texts)
+    return np.concatenate([t for t in texts if len(t)])[places], inside, allowed
 
 
-def test_windows_cover_everything():
-    for n in (0, 1, 31, 32, 33, 100, 1000):
-        w = abuse.windows_of(np.arange(1, n + 1))
-        assert set(range(1, n + 1)) <= set(w.ravel().tolist()) and w.shape[1] == abuse.WINDOW
+def test_gradients_against_differences():
+    net, words = abuse.Network(1), ["", "alpha", "beta", "gamma", "delta"]
+    r = np.random.default_rng(0)
+    ids, inside, allowed = _batch(net, [r.integers(1, 5, 20), r.integers(1, 5, 90)])
+    y = np.array([1.0, 0, 1][: len(ids)], np.float32)
+    loss = lambda: abuse.Network.step(net, words, ids, inside, allowed, y, 0.0)
+    for name, at in (("u", (0, 3, 5)), ("u", (1, 2, 40)), ("w", (1, 4, 9)), ("att", (7,)), ("out", (20,)), ("b", (0, 33))):
+        net.m = {k: np.zeros_like(v) for k, v in net.p.items()}
+        loss()
+        slope = net.m[name][at] / 0.1
+        keep = float(net.p[name][at])
+        got = []
+        for change in (1e-2, -1e-2):
+            net.p[name][at] = keep + change
+            got.append(loss())
+        net.p[name][at] = keep
+        assert slope == pytest.approx((got[0] - got[1]) / 2e-2, rel=0.05, abs=2e-4), name
 
 
-def test_every_phrase_lies_whole_in_a_window():
-    text = np.arange(1, 201)
-    for n in (40, 33, 200):
-        assert abuse.windows_of(text[:n]).tolist() == [list(range(i, i + abuse.WINDOW)) for i in range(1, n - abuse.WINDOW + 2)]
+def test_windows_cover_everything():
     net, words = abuse.Network(3), ["", *(f"w{i}" for i in range(1, 201))]
+    texts = [np.arange(1, n + 1) for n in (1, 5, 31, 32, 33, 64, 65, 100, 200)]
+    probability, text, start = net.score_texts(net.projections(words), texts)
+    assert [start[text == i].tolist() for i in range(len(texts))] == [list(range(max(1, len(x) - abuse.WINDOW + 1))) for x in texts]
+    for i, x in enumerate(texts):  # a score does not depend on the texts beside it
+        assert np.allclose(net.score_texts(net.projections(words), [x])[0], probability[text == i], atol=1e-5)
+    doc, places, inside, allowed = abuse.chunks_of(texts)
+    assert [int(allowed[doc == i].sum()) for i in range(len(texts))] == [max(1, len(x) - abuse.WINDOW + 1) for x in texts]
+
+
+def test_pulls_against_plain_recurrence():
+    net, words = abuse.Network(4), ["", *(f"w{i}" for i in range(1, 60))]
+    x = np.random.default_rng(1).integers(1, 60, 150)
     table = net.projections(words)
-    texts = [text[:5], text, text[60:93], text[:0]]
-    stream, starts, owner = abuse.stream_of(texts)
-    together = net.score_stream(table, stream, starts, block=50)
-    assert owner.tolist() == sorted(owner.tolist()) and np.bincount(owner).tolist() == [1, 169, 2, 1]
-    for i, t in enumerate(texts):
-        assert np.allclose(together[owner == i], net.score(table, abuse.windows_of(t)), atol=1e-6)
+    h = abuse.STATE
+    got = net.score_texts(table, [x])[0]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    states = np.zeros((150, 2 * h))
+    for k in (0, 1):
+        for tile in range(0, 150, abuse.TILE):
+            low, high = max(0, tile - abuse.CONTEXT), min(150, tile + abuse.TILE + abuse.CONTEXT)
+            state = np.zeros(h)
+            for t in range(low, high) if k == 0 else range(high - 1, low - 1, -1):
+                g, u = table[k][x[t]], net.p["u"][k]
+                rz = sig(g[: 2 * h] + state @ u[:, : 2 * h])
+                new = np.tanh(g[2 * h :] + rz[:h] * (state @ u[:, 2 * h :]))
+                state = new + rz[h:] * (state - new)
+                if tile <= t < tile + abuse.TILE:
+                    states[t, k * h : (k + 1) * h] = state
+    a, v = np.exp(states @ net.p["att"]), states @ net.p["out"]
+    want = [sig((a[i : i + 32] * v[i : i + 32]).sum() / a[i : i + 32].sum() + net.p["bias"][0]) for i in range(119)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_best_threshold():
+    assert 0 < 1 / (1 + np.exp(-abuse.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([True, True, False, False])))) < 0.8
+    assert abuse.best_threshold(np.array([0.9]), np.array([True])) == 0.0
+
+
+def test_labelled_sample_is_bounded(spark):
+    d = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(1, None), (60, None)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, " Clean " if i % 2 else "abusive") for i in range(50)] + [(2, "clean"), (None, "clean"), (60, "clean")], "doc_id long, label string")
+    assert abuse.labelled_sample(d, lab).count() == 50
+    assert abuse.labelled_sample(d, lab, bound=10).count() == 10
+    assert abuse.labelled_sample(d, lab, chars=1000).select(F.sum(F.length("text"))).first()[0] <= 1000
 
 
 def test_token_round_trip():
