@@ -29,6 +29,15 @@ SELECT group_id, memory_id AS survivor_id FROM v
 WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.group_id = v.group_id AND (w.f > v.f OR w.u > v.u OR w.p > v.p))
 """
 
+P3_TEXTS = r"""t AS (
+  SELECT memory_id AS id, regexp_extract_all(lower(coalesce(r.d, '') || ' ' || coalesce(r.b, '')), '[\p{L}\p{N}]+') AS w
+  FROM (SELECT memory_id, arg_max(struct_pack(d := description, b := body), rev) AS r FROM memories GROUP BY memory_id)),
+g AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM t WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+near AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.5 * (na.n + nb.n - c))"""
+P3_FOUND = f"WITH {P3_TEXTS} SELECT a AS memory_a, b AS memory_b FROM near"
+
 P4_FOUND = r"""
 WITH one AS (SELECT *, row_number() OVER (PARTITION BY transcript, line_no ORDER BY row_id) AS n FROM calls),
 t AS (
@@ -53,4 +62,4 @@ UNION SELECT s FROM t WHERE s <> '' AND s NOT IN (SELECT s FROM main WHERE p)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
