@@ -9,6 +9,12 @@ Defined results: null or blank text gives one empty piece that is not oversized;
 means false; among rows with one (parent, index) the highest ``rev`` counts, then the highest
 ``chunk_id``; repeated rows fall together; a text without any white space is cut between characters,
 never before a combining mark. Extra columns are ignored. An empty table gives an empty result.
+
+Overlap: a piece begins with the last sentence (or line) of the piece before it, also across blank lines. Of a
+sentence longer than ``overlap``, and at a cut between words, the last whole words that fit into ``overlap`` are
+repeated. Nothing is repeated at a section border (the next piece is no continuation), inside a code fence, at a
+cut between characters, and where the repetition leaves no room for any text. The repeated first line of a
+chunk that was itself continued stays whole up to half the limit.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ PENALTY = np.array([0.0, 0.05, 0.15, 0.3, 0.6, 2.5, 12.0])
 FENCE_PENALTY = 8.0
 
 _fence = re.compile(r" {0,3}(`{3,}|~{3,})")
-_heading = re.compile(r"(#{1,6})[ \t]+(\S.*?)[ \t#]*$")
+#: Up to three spaces, one to six hash signs, a title, and perhaps a closing run of hash signs behind a space.
+_heading = re.compile(r"[ ]{0,3}(#{1,6})(?![^ \t])[ \t]*(.*?)(?:(?:^|[ \t]+)#+)?[ \t]*")
 _item = re.compile(r"[ \t]*(?:[-*+]|\d{1,3}[.)])[ \t]")
 _sentence_gap = re.compile(r"[.!?。！？…][\"')\]]*\s+(?=\S)|[。！？]")
 
@@ -54,8 +61,8 @@ def _borders(text: str, step: int):
             else:
                 kind[at] = ITEM if _item.match(line) else LINE
         if not fence and not opening:
-            title = _heading.match(line)
-            if title:
+            title = _heading.fullmatch(line)
+            if title and title[2].strip():
                 if at:
                     kind[at] = SECTION
                 titles.append((at, len(title[1]), title[2].strip()))
@@ -89,41 +96,45 @@ def _borders(text: str, step: int):
 
 
 def _path(base: str, titles: list[tuple[int, int, str]], at: int) -> str:
-    stack: list[tuple[int, str]] = []
-    for where, level, title in titles:
-        if where > at:
-            break
-        while stack and stack[-1][0] >= level:
-            stack.pop()
-        stack.append((level, title))
-    inner = [title for _, title in stack]
+    """The headings that hold at a position, outermost first: seen from there, each one above all that follow it."""
+    inner, above = [], 7
+    for _, level, title in reversed([t for t in titles if t[0] <= at]):
+        if level < above:
+            inner, above = [title, *inner], level
     outer = [x for x in base.split(" > ") if x]
     if inner and outer and outer[-1] == inner[0]:
         outer.pop()
     return " > ".join(outer + inner)
 
 
+def _tail(said: str, overlap: int) -> str:
+    """``said``, or its last whole words within ``overlap`` characters."""
+    return said if len(said) <= overlap else said[-overlap - 1 :].partition(" ")[2].strip()
+
+
 def split_text(text: str, heading: str = "", lead: str = "", limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[str, str, bool]]:
     """Pieces (text, heading, continued) of ``text``; ``lead`` is the sentence its first piece repeats."""
-    lead = lead if len(lead) <= overlap else ""
+    lead = lead if len(lead) <= limit // 2 else _tail(lead, overlap)
     kinds, fenced, titles = _borders(text, max(8, (limit - overlap) // 3))
     pos = np.array([0, *sorted(k for k in kinds if 0 < k < len(text)), len(text)], dtype=np.int64)
     n = len(pos)
     cost = np.zeros(n)
     repeat = np.zeros(n, dtype=np.int64)
-    starts = np.zeros(n, dtype=np.int64)
-    last = 0
+    again: dict[int, str] = {0: lead}
+    unit = before = 0  # where the current sentence or line begins, and the last one that isn't blank
     for j in range(1, n - 1):
         p = int(pos[j])
         k = kinds[p]
         cost[j] = PENALTY[k] + (FENCE_PENALTY if p in fenced else 0.0)
-        if k in (PARAGRAPH, ITEM, LINE, SENTENCE) and p not in fenced and last not in fenced:
-            said = text[last:p].strip()
-            if 0 < len(said) <= overlap and not _fence.match(said):
-                repeat[j] = len(said) + 1
-                starts[j] = last
+        if text[unit:p].strip():
+            before = unit
+        if k not in (SECTION, CHAR) and p not in fenced and before not in fenced:
+            said = text[before:p].strip()
+            if said and "\n" not in said and not _fence.match(said):
+                again[j] = _tail(said, overlap)
+                repeat[j] = len(again[j]) + 1 if again[j] else 0
         if k <= SENTENCE:
-            last = p
+            unit = p
     if lead:
         repeat[0] = len(lead) + 1
     room = limit - overlap // 2
@@ -152,10 +163,10 @@ def split_text(text: str, heading: str = "", lead: str = "", limit: int = LIMIT,
     out = []
     for a, b in zip(cuts, cuts[1:]):
         body = text[pos[a] : pos[b]].strip("\n").rstrip()
-        again = (lead if a == 0 else text[starts[a] : pos[a]].strip()) if repeat[a] else ""
+        said = again.get(a, "") if repeat[a] else ""
         if not body.strip():
             continue
-        out.append((f"{again}\n{body}" if again else body, _path(heading, titles, int(pos[a])), bool(again)))
+        out.append((f"{said}\n{body}" if said else body, _path(heading, titles, int(pos[a])), bool(said)))
     return out
 
 
@@ -172,7 +183,7 @@ def current_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """One row a piece: parent_id, chunk_index, piece_no (from 0), pieces, heading, continued, text."""
+    """One row a piece: parent_id, chunk_index, piece_no (from 0), pieces, cut (the chunk was too long), heading, continued, text."""
 
     @F.pandas_udf(PIECES)
     def cut(text: pd.Series, heading: pd.Series, lead: pd.Series) -> pd.Series:
@@ -185,11 +196,11 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     pieces = F.when(long & (F.size("cut") > 0), F.col("cut")).otherwise(whole)
     return (
         done.withColumn("parts", pieces)
-        .select("parent_id", "chunk_index", F.size("parts").alias("pieces"), F.posexplode("parts").alias("piece_no", "p"))
-        .select("parent_id", "chunk_index", "piece_no", "pieces", "p.heading", "p.continued", "p.text")
+        .select("parent_id", "chunk_index", F.size("parts").alias("pieces"), long.alias("cut"), F.posexplode("parts").alias("piece_no", "p"))
+        .select("parent_id", "chunk_index", "piece_no", "pieces", "cut", "p.heading", "p.continued", "p.text")
     )
 
 
 def oversized(chunks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """The chunks that ``split_oversized`` had to cut."""
-    return split_oversized(chunks, limit).where((F.col("piece_no") == 0) & (F.col("pieces") > 1)).select("parent_id", "chunk_index")
+    """The chunks that were too long for ``split_oversized``."""
+    return split_oversized(chunks, limit).where((F.col("piece_no") == 0) & F.col("cut")).select("parent_id", "chunk_index")

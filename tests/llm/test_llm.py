@@ -44,15 +44,32 @@ def test_split_prefers_borders_and_whole_fences():
     assert any(fence in t for t, _, _ in pieces)
 
 
+def test_split_overlaps_at_every_border():
+    pieces = split.split_text("para one. Two here.\n\n" * 200)
+    assert [c for _, _, c in pieces] == [False] + [True] * (len(pieces) - 1) and pieces[1][0].startswith("Two here.\n")
+    pieces = split.split_text("word " * 1000)
+    assert all(c and 150 < len(t.split("\n")[0]) <= split.OVERLAP for t, _, c in pieces[1:])
+    assert not any(c for _, _, c in split.split_text("# A\n" + "x y. " * 200 + "\n# B\n" + "x y. " * 200))
+    lead = "l" * 500
+    assert split.split_text("One. " * 400, lead=lead)[0][0].startswith(lead + "\n")
+
+
+def test_headings():
+    text = "# Top #\n" + "a. " * 300 + "\n## In #5\n" + "b. " * 300 + "\n#no heading\n### Deep ##\n" + "c. " * 300 + "\n## Next\n" + "d. " * 300
+    paths = {h for _, h, _ in split.split_text(text, "Base")}
+    assert paths == {"Base > Top", "Base > Top > In #5", "Base > Top > In #5 > Deep", "Base > Top > Next"}
+
+
 def test_chunk_edges(spark):
     schema = "chunk_id long, parent_id long, chunk_index long, heading string, text string, search_text string, continued boolean, rev long, extra string"
     data = [
         (1, 1, 0, None, None, None, None, 1, "a"), (2, 1, 1, "h", "x" * 1200, "", False, 1, "b"), (3, 1, 2, "h", "x" * 1201, "", None, 1, "c"),
         (4, 1, 3, "h", "first line\n" + "y" * 1200, "", True, 1, "d"), (5, 1, 4, "h", "x" * 2000, "", False, 1, "e"), (6, 1, 4, "h", "short", "", False, 2, "f"),
         (3, 1, 2, "h", "x" * 1201, "", None, 1, "c"), (7, 1, 5, "h", "\r\n " + "z" * 1200 + " \t\r\n", "", False, 1, "g"),
+        (8, 1, 6, "h", "first line\n" + "\n" * 10 + "y" * 1195, "", True, 1, "h"),
     ]
     df = spark.createDataFrame(data, schema)
-    assert rows(split.oversized(df)) == [(1, 2)]
+    assert rows(split.oversized(df)) == [(1, 2), (1, 6)]
     assert rows(split.oversized(df.limit(0))) == []
 
 
