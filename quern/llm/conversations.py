@@ -12,7 +12,9 @@ segment and session.
 Defined results: rows with the same transcript and line are one row (smallest ``row_id``); a null
 ``moment`` takes that of the nearest earlier line of its transcript, else stays null and sorts
 first; moments above 1e11 are milliseconds; null ``is_meta`` is false; rows with a null or blank
-session are dropped; text without a letter or digit is blank; null ids match nothing.
+session are dropped; text without a letter or digit is blank; null ids match nothing. Partly sent replies (rows
+of one message whose text the full row begins with) don't become messages of their own. Sessions are given by
+the data, so the calibrated gap numbers episodes inside them; the faults are those of a whole session.
 """
 
 from __future__ import annotations
@@ -124,6 +126,15 @@ def calibrated_gap(rows: DataFrame) -> DataFrame:
     return x.agg(F.pow(F.lit(2.0), (F.max_by("bin", "apart") + 0.5) / GAP_BINS).alias("gap"))
 
 
+def without_partial(rows: DataFrame) -> DataFrame:
+    """``rows`` without replies that are the beginning of a longer reply with the same session and message id."""
+    replies = rows.where("is_reply and not is_call and message_id is not null")
+    whole = replies.groupBy("session", "message_id").agg(F.max_by(F.struct("row_id", "text"), F.struct(F.char_length("text"), "at", "line_no", "row_id")).alias("whole"), F.count(F.lit(1)).alias("sent")).where("sent > 1")
+    both = rows.join(whole.select("session", "message_id", "whole"), ["session", "message_id"], "left")
+    partial = F.col("is_reply") & ~F.col("is_call") & (F.col("row_id") != F.col("whole.row_id")) & F.startswith(F.col("whole.text"), F.regexp_replace("text", r"(\s|…|\.\.\.)+$", ""))
+    return both.where(~F.coalesce(partial, F.lit(False))).drop("whole")
+
+
 def rebuild(calls: DataFrame) -> DataFrame:
     """The ordered rows of the sessions that are kept, one row a message.
 
@@ -135,7 +146,7 @@ def rebuild(calls: DataFrame) -> DataFrame:
     w = Window.partitionBy("session", "seg").orderBy("at", "line_no", "transcript")
     kind = F.when(F.col("is_prompt"), "prompt").when(F.col("is_call"), "call").when(F.col("is_result"), "result").when(F.col("is_reply"), "reply").otherwise("other")
     role = F.coalesce(F.lower(F.trim("role")), F.when(F.col("is_result"), "tool").when(F.col("prompt").isNotNull(), "user").when(F.col("text").isNotNull(), "assistant").otherwise("system"))
-    got = rows.join(keep, "session").withColumns({"kind": kind, "role": role, "_n": F.row_number().over(w), "_p": F.sum(F.col("is_prompt").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_gap": F.col("at") - F.lag("at").over(w)})
+    got = without_partial(rows.join(keep, "session")).withColumns({"kind": kind, "role": role, "_n": F.row_number().over(w), "_p": F.sum(F.col("is_prompt").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_gap": F.col("at") - F.lag("at").over(w)})
     gap = calibrated_gap(rows)
     got = got.crossJoin(F.broadcast(gap)).withColumn("_e", F.sum(F.coalesce((F.col("_gap") > F.col("gap")).cast("int"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ends = got.groupBy("session", "seg").agg(F.max("_n").alias("n"), F.max("_p").alias("p"), F.max("_e").alias("e"), F.min("at").alias("head"), F.max("at").alias("tail"), F.max("gap").alias("gap"))

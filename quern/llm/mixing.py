@@ -1,10 +1,13 @@
 """Problem 7: mix sources to target weights.
 
 Temperature mixing. The weights of the sources are their natural token shares raised towards the targets,
-``w(e) ~ natural^(1-e) * target^e``, and the exponent is bisected: at 1 the mix is the target; if a budget
-asks for more repetitions than a source may give, the largest exponent that keeps every repetition limit
-is taken. Without a budget the size of the mix is the largest at which exponent 1 keeps the limits.
-Without targets, ``w(e) ~ natural^e`` is bisected to a wanted entropy instead.
+``w(e) ~ natural^(1-e) * target^e``. The exponent is bisected: at 1 the mix is the target; if a budget asks for more
+repetitions than a source may give, the largest exponent that keeps every repetition limit is taken. Without
+targets of their own, ``w(e) ~ natural^e`` is bisected to a wanted entropy instead.
+
+Without a budget the shares come first: the mix is the largest at which every source has its share and keeps its
+limit, so the exponent is 1. One rare source with a large share can make that mix small; ``least_mix`` (0 unless
+given) is the part of all usable tokens that the mix has to keep, and where the shares don't allow it, that size is the budget.
 
 The weights are realised by block permutations: every full pass over a source takes all of it, and the last
 pass takes blocks of documents in the order of a seeded hash while the budget lasts; only the one
@@ -12,9 +15,8 @@ block that crosses the budget is looked at document by document.
 
 Defined results: source names ignore case, outer white space, and ``-``, ``_`` and space are one; shares are
 divided by their sum over the sources that have both tokens and a target; a source without a target gets
-nothing, a target without documents is reported with a reached share of 0; a source whose limit would
-shrink the mix below ``LEAST_MIX`` of what the others could give is out of reach: it gives all it may,
-and is reported so. Null ``max_repeats`` is 1. Documents without tokens are never taken.
+nothing, a target without documents is out of reach and reported with a reached share of 0. Null ``max_repeats`` is 1.
+Documents without tokens are never taken. Targets are a small table; more than ``MAX_SOURCES`` are an error.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from quern.llm.tokens import VOCABULARY, token_counts
 from quern.session import cut_lineage
 
-LEAST_MIX = 0.25
 BLOCK_DOCS = 10_000
 MAX_SOURCES = 100_000
 
@@ -62,48 +63,48 @@ def entropy_exponent(natural: dict[str, float], entropy: float) -> float:
     return _bisect(lambda e: spread(e) >= entropy)
 
 
-def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None, entropy: float | None = None) -> tuple[dict[str, float], float, set[str]]:
-    """(wanted tokens of each source, exponent, sources out of reach)."""
+def plan(tokens: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None, entropy: float | None = None, least_mix: float = 0.0) -> tuple[dict[str, float], float]:
+    """(wanted tokens of each source, exponent)."""
     usable = {s: share for s, (share, _) in targets.items() if share and share > 0 and tokens.get(s, 0) > 0}
     if not usable:
-        return {}, 1.0, set()
+        return {}, 1.0
     limit = {s: tokens[s] * max(1, targets[s][1]) for s in usable}
     every = sum(tokens[s] for s in usable)
     natural = {s: tokens[s] / every for s in usable}
+    exponent = 1.0
     if entropy is not None:
-        e = entropy_exponent(natural, entropy)
-        raw = {s: x**e for s, x in natural.items()}
-        usable = {s: x / sum(raw.values()) for s, x in raw.items()}
+        exponent = entropy_exponent(natural, entropy)
+        usable = {s: x**exponent for s, x in natural.items()}
     total = sum(usable.values())
     target = {s: x / total for s, x in usable.items()}
-    if budget is not None:
-        e = _bisect(lambda e: all(budget * w <= limit[s] for s, w in tempered(natural, target, e).items()))
-        weights = tempered(natural, target, e)
-        return {s: min(limit[s], budget * w) for s, w in weights.items()}, e, set()
-    out: set[str] = set()
-    for s in sorted(target, key=lambda s: limit[s] / target[s]):
-        if limit[s] / target[s] >= LEAST_MIX * every or len(out) == len(target) - 1:
-            break
-        out.add(s)
-    inside = {s: t for s, t in target.items() if s not in out}
-    size = min(limit[s] / t for s, t in inside.items())
-    return {s: min(limit[s], size * t) for s, t in target.items()}, 1.0, out
+    size = min(limit[s] / t for s, t in target.items())
+    if budget is None and size >= least_mix * every:
+        return {s: size * t for s, t in target.items()}, exponent
+    wanted = budget if budget is not None else math.floor(least_mix * every)
+    e = _bisect(lambda e: all(wanted * w <= limit[s] for s, w in tempered(natural, target, e).items()))
+    return {s: min(limit[s], wanted * w) for s, w in tempered(natural, target, e).items()}, e if entropy is None else exponent
 
 
 class Mix:
     """The plan over one table of documents; ``selection`` and ``report`` are DataFrames."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, budget: int | None = None, entropy: float | None = None, vocabulary: str = VOCABULARY, seed: int = 17):
+    def __init__(self, documents: DataFrame, targets: DataFrame, budget: int | float | None = None, entropy: float | None = None, vocabulary: str = VOCABULARY, seed: int = 17, least_mix: float = 0.0):
+        """``budget`` in tokens, or as a part of all tokens of the usable sources (a float); ``entropy`` as a part of that of equal shares."""
         spark = documents.sparkSession
         counts = token_counts(documents.withColumn("src", source_name()), "src", vocabulary=vocabulary)
         self.counts = cut_lineage(counts.select("doc_id", F.col("src").alias("source"), "tokens"))
         self.targets = targets.select(source_name().alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-        wanted = self.targets.limit(MAX_SOURCES).collect()
+        wanted = self.targets.limit(MAX_SOURCES + 1).collect()
+        if len(wanted) > MAX_SOURCES:
+            raise ValueError(f"more than {MAX_SOURCES} sources with targets")
         sums = self.counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
         have = {r.source: (r.tokens, r.docs) for r in sums.join(F.broadcast(self.targets.select("source")), "source", "left_semi").collect()}
         limits = {r.source: (r.target_share or 0.0, r.max_repeats or 1) for r in wanted}
         self.sums = sums
-        self.wanted, self.exponent, self.out = plan({s: t for s, (t, _) in have.items()}, limits, budget, entropy)
+        usable = [have[s][0] for s, (share, _) in limits.items() if share > 0 and s in have and have[s][0]]
+        budget = math.floor(budget * sum(usable)) if isinstance(budget, float) else budget
+        entropy = None if entropy is None else entropy * math.log(max(1, len(usable)))
+        self.wanted, self.exponent = plan({s: t for s, (t, _) in have.items()}, limits, budget, entropy, least_mix)
         rows = []
         for s, want in self.wanted.items():
             held, docs = have[s]
@@ -132,10 +133,8 @@ class Mix:
         got = self.selection().groupBy("source").agg(F.sum("tokens").alias("taken"), F.count(F.lit(1)).alias("rows"), F.max("repeat").alias("most_repeats"))
         base = self.targets.join(self.sums, "source", "full").join(got, "source", "left")
         everything = Window.partitionBy()
-        spark = base.sparkSession
-        flags = spark.createDataFrame([(s, s in self.out) for s in self.wanted] or [("", False)], "source string, out_of_reach boolean")
         zero = F.lit(0)
         taken = F.coalesce("taken", zero)
-        out = base.join(F.broadcast(flags), "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("docs", zero).alias("docs"), taken.alias("taken_tokens"), F.coalesce("rows", zero).alias("taken_rows"), F.coalesce("most_repeats", zero).alias("most_repeats"), F.coalesce("out_of_reach", F.col("target_share").isNotNull()).alias("out_of_reach"))
+        out = base.select("source", "target_share", "max_repeats", F.coalesce("tokens", zero).alias("tokens"), F.coalesce("docs", zero).alias("docs"), taken.alias("taken_tokens"), F.coalesce("rows", zero).alias("taken_rows"), F.coalesce("most_repeats", zero).alias("most_repeats"), (F.col("target_share").isNotNull() & (F.coalesce("tokens", zero) == 0)).alias("out_of_reach"))
         usable = F.when((F.col("target_share") > 0) & (F.col("tokens") > 0), F.col("target_share"))
         return out.select("*", (usable / F.sum(usable).over(everything)).alias("wanted_share"), F.try_divide(F.col("taken_tokens"), F.sum("taken_tokens").over(everything)).alias("reached_share"), F.lit(self.exponent).alias("exponent"))

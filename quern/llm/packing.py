@@ -31,11 +31,10 @@ LOSS_SHARE = 1.0
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, loss_capacity: int) -> np.ndarray:
-    """The container number of each item; loss above what a container takes counts as that much. Longer items are an error."""
+    """The container number of each item. Items above a limit are an error."""
     n = len(tokens)
-    if n and tokens.max() > capacity:
+    if n and (tokens.max() > capacity or loss.max() > loss_capacity):
         raise ValueError("an item is larger than a container")
-    loss = np.minimum(loss, loss_capacity)
     order = np.lexsort((-loss, -tokens))
     t, s = tokens[order].astype(np.float64), loss[order].astype(np.float64)
     where = np.empty(n, dtype=np.int64)
@@ -66,23 +65,31 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, los
     return where
 
 
-def items(counts: DataFrame, sizes: list[tuple[str, int]]) -> DataFrame:
+def loss_limit(capacity: int, share: float) -> int:
+    return max(1, int(capacity * share))
+
+
+def items(counts: DataFrame, sizes: list[tuple[str, int]], loss_share: float = LOSS_SHARE) -> DataFrame:
     """(pack_name, capacity_tokens, doc_id, piece_no, from_token, tokens, loss_tokens): whole documents, or pieces."""
     capacity = F.col("capacity_tokens")
-    kinds = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(size).cast("long").alias("capacity_tokens")) for name, size in sizes])
+    kinds = F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(size).cast("long").alias("capacity_tokens"), F.lit(loss_limit(size, loss_share)).cast("long").alias("loss_capacity")) for name, size in sizes])
     each = counts.select("*", F.inline(kinds))
-    pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / capacity)).cast("int")
-    cut = each.select("pack_name", "capacity_tokens", "doc_id", F.col("tokens").alias("all"), F.col("loss_tokens").alias("all_loss"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
-    start = F.col("piece_no") * capacity
-    size = F.least(capacity, F.col("all") - start)
+    # so long is a full piece that neither its tokens nor its share of the loss are above a limit
+    step = F.least(capacity, F.when(F.col("loss_tokens") > F.col("loss_capacity"), F.greatest(F.lit(1), F.floor(F.col("tokens") * F.col("loss_capacity") / F.col("loss_tokens")))).otherwise(capacity))
+    each = each.withColumn("step", step)
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("step"))).cast("int")
+    cut = each.select("pack_name", "capacity_tokens", "step", "doc_id", F.col("tokens").alias("all"), F.col("loss_tokens").alias("all_loss"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece_no"))
+    start = F.col("piece_no") * F.col("step")
+    size = F.least(F.col("step"), F.col("all") - start)
     share = lambda upto: F.floor(F.col("all_loss") * upto / F.greatest(F.col("all"), F.lit(1)))
     return cut.select("pack_name", "capacity_tokens", "doc_id", "piece_no", start.alias("from_token"), size.alias("tokens"), (share(start + size) - share(start)).alias("loss_tokens"))
 
 
+#: Container sizes are a small table by nature; more are an error.
 MAX_SIZES = 1000
 
 
-def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY, lot: int = LOT, loss_share: float = LOSS_SHARE) -> DataFrame:
+def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOCABULARY, lot: int = LOT, loss_share: float = LOSS_SHARE, tokens_per_segment: int = TOKENS_PER_SEGMENT) -> DataFrame:
     """One row an item: where it is, and how full its container is."""
     counts = cut_lineage(token_counts(documents, vocabulary=vocabulary))
     rows = sizes.where("capacity_tokens >= 1 and pack_name is not null").groupBy("pack_name").agg(F.max("capacity_tokens").alias("capacity_tokens")).limit(MAX_SIZES + 1).collect()
@@ -95,24 +102,29 @@ def pack_documents(documents: DataFrame, sizes: DataFrame, vocabulary: str = VOC
     def fill(batch: pd.DataFrame) -> pd.DataFrame:
         capacity = int(batch["capacity_tokens"].iloc[0])
         batch = batch.sort_values(["doc_id", "piece_no"], ignore_index=True)
-        loss_capacity = max(1, int(capacity * loss_share))
-        loss = np.minimum(batch["loss_tokens"].to_numpy(), loss_capacity)
-        batch["container"] = pack(batch["tokens"].to_numpy(), loss, capacity, max(LEAST_SEGMENTS, capacity // TOKENS_PER_SEGMENT), loss_capacity)
+        segments, loss_capacity = max(min(LEAST_SEGMENTS, tokens_per_segment), capacity // tokens_per_segment), loss_limit(capacity, loss_share)
+        batch["container"] = pack(batch["tokens"].to_numpy(), batch["loss_tokens"].to_numpy(), capacity, segments, loss_capacity)
         of = batch.groupby("container")["tokens"]
         batch["container_tokens"], batch["container_items"] = of.transform("sum"), of.transform("size")
         batch["fill"] = batch["container_tokens"] / capacity
+        batch["segment_fill"] = batch["container_items"] / segments
+        batch["loss_fill"] = batch.groupby("container")["loss_tokens"].transform("sum") / loss_capacity
         batch["container_id"] = batch["lot"].astype(str) + "-" + batch["container"].astype(str)
         return batch[COLUMNS]
 
-    lotted = items(counts, sorted((r.pack_name, r.capacity_tokens) for r in rows)).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(lots)))
+    lotted = items(counts, sorted((r.pack_name, r.capacity_tokens) for r in rows), loss_share).withColumn("lot", F.pmod(F.xxhash64("doc_id"), F.lit(lots)))
     return lotted.groupBy("pack_name", "lot").applyInPandas(fill, SCHEMA)
 
 
-SCHEMA = "pack_name string, capacity_tokens long, container_id string, doc_id long, piece_no int, from_token long, tokens long, loss_tokens long, container_tokens long, container_items long, fill double"
+SCHEMA = "pack_name string, capacity_tokens long, container_id string, doc_id long, piece_no int, from_token long, tokens long, loss_tokens long, container_tokens long, container_items long, fill double, segment_fill double, loss_fill double"
 COLUMNS = [part.split()[0] for part in SCHEMA.split(", ")]
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Per container size: containers, items, tokens and the mean fill."""
-    each = packed.groupBy("pack_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
-    return each.groupBy("pack_name", "capacity_tokens").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (F.count(F.lit(1)) * F.col("capacity_tokens"))).alias("mean_fill"))
+    """Per container size: containers, items, tokens, the mean fill in each direction and how many containers reach each of the other limits."""
+    each = packed.groupBy("pack_name", "capacity_tokens", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), F.max("segment_fill").alias("segments"), F.max("loss_fill").alias("loss"))
+    n = F.count(F.lit(1))
+    return each.groupBy("pack_name", "capacity_tokens").agg(
+        n.alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), (F.sum("tokens") / (n * F.col("capacity_tokens"))).alias("mean_fill"),
+        F.avg("segments").alias("mean_segment_fill"), F.avg("loss").alias("mean_loss_fill"), F.count_if(F.col("segments") >= 1).alias("full_in_segments"), F.count_if(F.col("loss") >= 0.995).alias("full_in_loss"),
+    )

@@ -68,6 +68,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, d))
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The fill with limits on segments and loss that bind: a segment for 192 tokens, and loss-bearing tokens for nine tenths."""
+    return packing.fill_report(packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_sizes"), loss_share=0.9, tokens_per_segment=192))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).selection()
 
@@ -76,6 +81,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report()
 
 
+def p7_budget_report(spark: SparkSession, d: str) -> DataFrame:
+    """A mix of as many tokens as the sources have: the exponent is bisected to the repetition limits."""
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), budget=1.0).report()
+
+
+def p7_entropy_report(spark: SparkSession, d: str) -> DataFrame:
+    """Shares flattened to nine tenths of the entropy of equal shares, in a mix of at least half of all tokens."""
+    return mixing.Mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), entropy=0.9, least_mix=0.5).report()
+
+
 def _scores(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
     return abuse.score_documents(documents, abuse.fit(documents, table(spark, d, "doc_labels")))

@@ -29,6 +29,34 @@ SELECT group_id, memory_id AS survivor_id FROM v
 WHERE NOT EXISTS (SELECT 1 FROM v w WHERE w.group_id = v.group_id AND (w.f > v.f OR w.u > v.u OR w.p > v.p))
 """
 
+P2_SURVIVORS = r"""
+WITH RECURSIVE rows AS (
+  SELECT least(memory_a, memory_b) AS a, greatest(memory_a, memory_b) AS b, upper(trim(verdict, ' ' || chr(9) || chr(10) || chr(13))) AS v, judged_at, verdict_id, reason,
+    CASE upper(trim(survivor, ' ' || chr(9) || chr(10) || chr(13))) WHEN 'A' THEN memory_a WHEN 'B' THEN memory_b END AS voted FROM verdicts),
+last AS (SELECT a, b, arg_max(struct_pack(v := v, voted := voted, reason := reason), (judged_at, verdict_id)) AS r FROM rows WHERE v <> 'UNSURE' AND v <> '' GROUP BY a, b),
+ties AS (SELECT a, b, r.voted AS voted, r.reason AS reason FROM last WHERE r.v = 'MERGE'),
+votes AS (SELECT voted AS memory_id, count(*) AS votes, min(reason) AS vote_reason FROM ties WHERE voted IS NOT NULL GROUP BY voted),
+links AS (SELECT a AS x, b AS y FROM ties UNION SELECT b, a FROM ties),
+reach AS (SELECT x AS node, x AS hit FROM links UNION SELECT r.node, l.y FROM reach r JOIN links l ON l.x = r.hit),
+comp AS (SELECT node AS memory_id, min(hit) AS group_id FROM reach GROUP BY node),
+m AS (SELECT memory_id, arg_max(struct_pack(n := name, d := description, c := category, l := labels), rev) AS r FROM memories GROUP BY memory_id),
+c AS (SELECT memory_id, arg_max(struct_pack(u := last_used_at, p := use_pos), folded_event_id) AS r FROM counts GROUP BY memory_id),
+v AS MATERIALIZED (
+  SELECT comp.group_id, comp.memory_id, CASE WHEN trim(m.r.n) <> '' THEN m.r.n END AS name, CASE WHEN trim(m.r.d) <> '' THEN m.r.d END AS description, CASE WHEN trim(m.r.c) <> '' THEN m.r.c END AS category,
+    CASE WHEN trim(m.r.l) NOT IN ('', '[]') THEN m.r.l END AS labels, c.r.u AS last_used_at, vote_reason, coalesce(votes, 0) AS votes,
+    (name IS NOT NULL)::INT + (description IS NOT NULL)::INT + (category IS NOT NULL)::INT + (labels IS NOT NULL)::INT AS f, coalesce(epoch_us(c.r.u), -1) AS u, coalesce(c.r.p, -1) AS p
+  FROM comp LEFT JOIN m USING (memory_id) LEFT JOIN c USING (memory_id) LEFT JOIN votes USING (memory_id)),
+lay AS (
+  SELECT group_id, memory_id, 1 AS k FROM v
+  UNION SELECT w.group_id, w.memory_id, lay.k + 1 FROM lay JOIN v b ON b.memory_id = lay.memory_id JOIN v w ON w.group_id = b.group_id AND b.f >= w.f AND b.u >= w.u AND b.p >= w.p AND (b.f, b.u, b.p) <> (w.f, w.u, w.p)),
+x AS (SELECT v.*, k, (-k, f, u, p, votes, -v.memory_id) AS best FROM v JOIN (SELECT memory_id, max(k) AS k FROM lay GROUP BY memory_id) USING (memory_id))
+SELECT group_id, arg_max(memory_id, best) AS survivor_id, arg_max(name, best) FILTER (name IS NOT NULL) AS name, arg_max(description, best) FILTER (description IS NOT NULL) AS description,
+  arg_max(category, best) FILTER (category IS NOT NULL) AS category, arg_max(labels, best) FILTER (labels IS NOT NULL) AS labels, arg_max(last_used_at, best) FILTER (last_used_at IS NOT NULL) AS last_used_at,
+  count(*) AS group_size, arg_max(struct_pack(r := vote_reason), best).r AS reason, count(*) FILTER (k = 1) AS undominated,
+  greatest(1, arg_max(k, best) FILTER (name IS NOT NULL), arg_max(k, best) FILTER (description IS NOT NULL), arg_max(k, best) FILTER (category IS NOT NULL), arg_max(k, best) FILTER (labels IS NOT NULL), arg_max(k, best) FILTER (last_used_at IS NOT NULL))::INT AS layers
+FROM x GROUP BY group_id
+"""
+
 P3_TEXTS = r"""t AS (
   SELECT memory_id AS id, regexp_extract_all(lower(coalesce(r.d, '') || ' ' || coalesce(r.b, '')), '[\p{L}\p{N}]+') AS w
   FROM (SELECT memory_id, arg_max(struct_pack(d := description, b := body), rev) AS r FROM memories GROUP BY memory_id)),
@@ -62,4 +90,4 @@ UNION SELECT s FROM t WHERE s <> '' AND s NOT IN (SELECT s FROM main WHERE p)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p4_found": P4_FOUND}

@@ -1,27 +1,32 @@
 """Problem 2: one surviving record for each group of duplicates.
 
 Skyline selection. A record beats another when it is nowhere worse and somewhere better in
-completeness (filled fields, a small integer), recency and trust. The first layer is the set that
-nobody beats; a lexicographic policy (completeness, recency, trust, votes of the judge, smallest id)
-picks the survivor from it. Fields it lacks are filled from successive layers: the members that still
-can give a missing field are taken, their own undominated set is formed, its best member by the same
-policy gives each field it has, and so on until nothing more can be given. Each round fills at least
-one field, so there are at most as many rounds as fields.
-
-A skyline is found by running maxima, never by collecting a group: first within salted parts of a
-group, then among what is left. Null recency and trust are lowest. Members without a row in
-``memories`` keep nulls.
+completeness (filled fields, a small integer), recency and trust. The first dominance layer is the set that
+nobody beats, the next one the set that only records of earlier layers beat, and so on. A lexicographic policy
+(completeness, recency, trust, votes of the judge, smallest id) picks the survivor from the first layer; a field it
+lacks comes from the earliest layer that has it, by the same policy within the layer.
+
+Groups of at most ``LOCAL_ROWS`` members are layered many at a time, each in one sweep by falling recency. A larger
+group is never collected: its layers are peeled off one by one, each by running maxima, first within salted parts of
+the group and then among what is left, until every field is filled that any member can give.
+
+Null recency and trust are lowest. Members without a row in ``memories`` keep nulls.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.session import cut_lineage
+from quern.session import cut_lineage, stored
 
 SALT_ROWS = 20_000
+#: Groups of more members are layered by shuffles.
+LOCAL_ROWS = 20_000
 _LOWEST = -(2**62)
 
 
@@ -101,22 +106,77 @@ def members(memories: DataFrame, counts: DataFrame, verdicts: DataFrame) -> Data
     ).join(sizes, "group_id")
 
 
-def choose_survivors(memories: DataFrame, counts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """One row a group: group_id, survivor_id, the filled fields, and how many layers gave them."""
-    everyone = cut_lineage(members(memories, counts, verdicts))
-    levels = len(FIELDS) + 1
-    given = [*FIELDS, "last_used_at"]
-    first = salted_skyline(everyone, levels)
-    row = F.struct("memory_id", *given, "group_size", "vote_reason")
-    chosen = first.groupBy("group_id").agg(F.max_by(row, _policy()).alias("r"), F.count(F.lit(1)).alias("undominated"))
-    out = cut_lineage(chosen.select("group_id", F.col("r.memory_id").alias("survivor_id"), *[F.col(f"r.{f}").alias(f) for f in given], "r.group_size", F.col("r.vote_reason").alias("reason"), "undominated", F.lit(1).alias("layers")))
-    for _ in given:
-        missing = out.where(" or ".join(f"{f} is null" for f in given)).select("group_id", *[F.col(f).isNull().alias(f"_need_{f}") for f in given])
-        useful = " or ".join(f"(_need_{f} and {f} is not null)" for f in given)
-        able = everyone.join(missing, "group_id").where(useful)
-        layer = salted_skyline(able, levels)
-        if layer.isEmpty():
-            break
-        best = layer.groupBy("group_id").agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), _policy())).alias(f"_new_{f}") for f in given], F.lit(1).alias("_more"))
-        out = cut_lineage(out.join(best, "group_id", "left").select("group_id", "survivor_id", *[F.coalesce(f, f"_new_{f}").alias(f) for f in given], "group_size", "reason", "undominated", (F.col("layers") + F.coalesce("_more", F.lit(0))).alias("layers")))
+def layers_of(fullness: list[int], recency: list[int], trust: list[float], levels: int) -> list[int]:
+    """The dominance layer of each member of one group, from 1: one more than the highest of those that beat it.
+
+    By falling recency, then completeness, then trust, whoever beats a member stands before it. For each
+    completeness the best trust of every layer is kept; it falls with the layer, so the highest layer with a trust at
+    least as good is found by bisection. Equal members share a layer.
+    """
+    order = sorted(range(len(trust)), key=lambda i: (-recency[i], -fullness[i], -trust[i]))
+    out = [0] * len(trust)
+    best: list[list[float]] = [[] for _ in range(levels)]  # negative trust by layer, ascending
+    last, at = None, 0
+    for i in order:
+        here = (recency[i], fullness[i], trust[i])
+        if here != last:
+            last, at = here, bisect_right(best[fullness[i]], -trust[i])
+            for side in best[: fullness[i] + 1]:
+                if at == len(side):
+                    side.append(-trust[i])
+                else:
+                    side[at] = min(side[at], -trust[i])
+        out[i] = at + 1
+    return out
+
+
+def _local_layers(members: DataFrame, levels: int) -> DataFrame:
+    """(memory_id, layer) of groups of bounded size, many groups to a task."""
+    lots = F.pmod(F.xxhash64("group_id"), F.lit(max(1, -(-members.count() // SALT_ROWS))))
+
+    def layer(lot: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, one in lot.groupby("group_id", sort=False):
+            got = layers_of(one["fullness"].tolist(), one["recency"].tolist(), one["trust"].tolist(), levels)
+            parts.append(pd.DataFrame({"memory_id": one["memory_id"], "layer": got}))
+        return pd.concat(parts)
+
+    return members.select("memory_id", "group_id", "fullness", "recency", "trust", lots.alias("lot")).groupBy("lot").applyInPandas(layer, "memory_id long, layer int")
+
+
+GIVEN = [*FIELDS, "last_used_at"]
+
+
+def _peeled_layers(members: DataFrame, levels: int) -> DataFrame | None:
+    """(memory_id, layer) of large groups, layer by layer until no further member can fill a field."""
+    out, rest, k = None, members, 1
+    while not rest.isEmpty():
+        layer = stored(salted_skyline(rest, levels).select("memory_id", "group_id", *[F.col(f).isNotNull().alias(f"_has_{f}") for f in GIVEN]))
+        done = layer.select("memory_id", F.lit(k).alias("layer"))
+        out = done if out is None else out.unionByName(done)
+        # a field that this layer has is settled in the group; members that can give nothing more only stand above others
+        has = layer.groupBy("group_id").agg(*[F.max(f"_has_{f}").alias(f"_has_{f}") for f in GIVEN])
+        rest = rest.join(layer.select("memory_id"), "memory_id", "left_anti").join(has, "group_id", "left")
+        rest = rest.withColumns({f: F.when(F.coalesce(F.col(f"_has_{f}"), F.lit(False)), F.lit(None)).otherwise(F.col(f)) for f in GIVEN}).select(*members.columns)
+        more = rest.groupBy("group_id").agg(F.max(F.greatest(*[F.col(f).isNotNull() for f in GIVEN])).alias("more")).where("more").select("group_id")
+        rest = stored(rest.join(more, "group_id", "left_semi"))
+        k += 1
     return out
+
+
+def choose_survivors(memories: DataFrame, counts: DataFrame, verdicts: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """One row a group: group_id, survivor_id, the filled fields, the size of the first layer and the deepest layer used."""
+    everyone = stored(members(memories, counts, verdicts))
+    levels = len(FIELDS) + 1
+    layers = _local_layers(everyone.where(F.col("group_size") <= local_rows), levels)
+    peeled = _peeled_layers(everyone.where(F.col("group_size") > local_rows), levels)
+    layers = layers if peeled is None else layers.unionByName(peeled)
+    ranked = everyone.join(layers, "memory_id")
+    order = F.struct((-F.col("layer")).alias("layer"), _policy().alias("policy"))
+    row = F.struct("memory_id", *GIVEN, "group_size", "vote_reason")
+    first = {f: F.max_by(F.struct(F.col(f).alias("value"), "layer"), F.when(F.col(f).isNotNull(), order)).alias(f"_{f}") for f in GIVEN}
+    out = ranked.groupBy("group_id").agg(F.max_by(row, order).alias("r"), F.count_if(F.col("layer") == 1).alias("undominated"), *first.values())
+    # the survivor's own value stands, even where another member of its layer comes first for a field alone
+    value = {f: F.coalesce(F.col(f"r.{f}"), F.col(f"_{f}.value")).alias(f) for f in GIVEN}
+    used = F.greatest(F.lit(1), *[F.when(F.col(f"r.{f}").isNull(), F.col(f"_{f}.layer")) for f in GIVEN])
+    return out.select("group_id", F.col("r.memory_id").alias("survivor_id"), *value.values(), "r.group_size", F.col("r.vote_reason").alias("reason"), "undominated", used.alias("layers"))

@@ -114,6 +114,39 @@ def test_survivor_fills_from_others(spark):
     assert survivor.choose_survivors(m, c, v.limit(0)).count() == 0
 
 
+def test_fields_come_from_the_earliest_layer(spark):
+    # 1 survives and lacks a description; 2 is undominated and has one; 3 is beaten by 1 only and has one, too
+    m = spark.createDataFrame([(1, "n", None, "c", '["l"]', 1), (2, None, "of 2", None, None, 1), (3, "n", "of 3", None, None, 1)], "memory_id long, name string, description string, category string, labels string, rev long")
+    c = spark.createDataFrame([(1, 9, 5.0, 1), (2, 1, 7.0, 1), (3, 8, 4.0, 1)], "memory_id long, last_used_at long, use_pos double, folded_event_id long").withColumn("last_used_at", F.timestamp_seconds("last_used_at"))
+    v = spark.createDataFrame([(1, 1, 2, "MERGE", None, None, 1), (2, 2, 3, "MERGE", None, None, 1)], "verdict_id long, memory_a long, memory_b long, verdict string, survivor string, reason string, judged_at long")
+    for rows_ in (survivor.LOCAL_ROWS, 0):
+        got = survivor.choose_survivors(m, c, v, rows_).collect()
+        assert [(r.survivor_id, r.description, r.undominated, r.layers) for r in got] == [(1, "of 2", 2, 1)], rows_
+
+
+def test_layers_against_brute_force(spark):
+    r = random.Random(8)
+    for _ in range(20):
+        data = [(r.randrange(3), r.randrange(5), float(r.randrange(5))) for _ in range(60)]
+        want, left, k = {}, set(range(60)), 1
+        beats = lambda y, x: y != x and all(a >= b for a, b in zip(y, x))
+        while left:
+            top = {i for i in left if not any(beats(data[j], data[i]) for j in left)}
+            want.update(dict.fromkeys(top, k))
+            left, k = left - top, k + 1
+        assert survivor.layers_of(*map(list, zip(*data)), 5) == [want[i] for i in range(60)]
+
+
+def test_large_groups_give_the_same(spark):
+    r = random.Random(6)
+    pick = lambda x: r.choice([None, x])
+    n = 60
+    m = spark.createDataFrame([(i, pick(f"n{i}"), pick(f"d{i}") if i % 9 == 0 else None, pick("c"), "[]", 1) for i in range(n)], "memory_id long, name string, description string, category string, labels string, rev long")
+    c = spark.createDataFrame([(i, r.randrange(9), float(r.randrange(9)), 1) for i in range(n)], "memory_id long, last_used_at long, use_pos double, folded_event_id long").withColumn("last_used_at", F.timestamp_seconds("last_used_at"))
+    v = spark.createDataFrame([(i, i, i + 3, "MERGE", r.choice("AB"), "r", i) for i in range(n - 3)], "verdict_id long, memory_a long, memory_b long, verdict string, survivor string, reason string, judged_at long")
+    assert rows(survivor.choose_survivors(m, c, v)) == rows(survivor.choose_survivors(m, c, v, 5))
+
+
 # 3: near duplicates
 
 def test_near_duplicates_against_brute_force(spark):
@@ -162,6 +195,14 @@ def test_sessions(spark):
     assert conversations.session_report(df.limit(0)).count() == 0
 
 
+def test_partly_sent_replies(spark):
+    schema = "row_id long, session string, agent string, transcript string, line_no long, role string, is_meta boolean, message_id string, tool string, tool_use_id string, tool_input string, prompt string, text string, is_error boolean, moment double"
+    said = [("user", None, "what?", None), ("assistant", "m1", None, "The ans"), ("assistant", "m1", None, "The answer is 4."), ("assistant", "m1", None, "More."), ("assistant", None, None, "The ans"), ("assistant", "m2", None, "x"), ("assistant", "m2", None, "x")]
+    df = spark.createDataFrame([(i, "s", "main", "t", i, role, None, message, None, None, None, prompt, text, None, float(i)) for i, (role, message, prompt, text) in enumerate(said)], schema)
+    kept = conversations.rebuild(df).orderBy("seq").collect()
+    assert [(r.seq, r.text) for r in kept] == list(enumerate(["what?", "The answer is 4.", "More.", "The ans", "x"], 1))
+
+
 # 5: personal information
 
 def test_pii(spark):
@@ -202,6 +243,17 @@ def test_pack_limits():
     assert t.sum() / (512 * (free.max() + 1)) > 0.97
 
 
+def test_items_above_a_limit(spark):
+    with pytest.raises(ValueError):
+        packing.pack(np.array([100]), np.array([100]), 400, 64, 50)
+    counts = spark.createDataFrame([(1, 100, 100), (2, 1000, 10), (3, 40, 40), (4, 0, 0)], "doc_id long, tokens int, loss_tokens int")
+    out = packing.items(counts, [("s", 400)], 0.125).collect()
+    assert all(r.tokens <= 400 and r.loss_tokens <= 50 for r in out)
+    for doc, pieces, tokens_, loss in ((1, 2, 100, 100), (2, 3, 1000, 10), (3, 1, 40, 40), (4, 1, 0, 0)):
+        mine = [r for r in out if r.doc_id == doc]
+        assert (len(mine), sum(r.tokens for r in mine), sum(r.loss_tokens for r in mine)) == (pieces, tokens_, loss)
+
+
 def test_pack_documents(spark):
     d = spark.createDataFrame([(1, "word " * 3000), (2, None), (3, ""), (4, "a b c"), (4, "a b c")], "doc_id long, text string")
     s = spark.createDataFrame([("small", 512), ("none", None), ("zero", 0)], "pack_name string, capacity_tokens long")
@@ -215,10 +267,17 @@ def test_pack_documents(spark):
 # 7: mixing
 
 def test_plan_hits_targets_and_limits():
-    want, e, out = mixing.plan({"a": 1000, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3), "gone": (0.2, 1)})
-    assert e == 1.0 and not out and want["a"] == pytest.approx(300) and want["b"] == pytest.approx(300)
-    want, e, _ = mixing.plan({"a": 1000, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3)}, budget=1000)
+    want, e = mixing.plan({"a": 1000, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3), "gone": (0.2, 1)})
+    assert e == 1.0 and want["a"] == pytest.approx(300) and want["b"] == pytest.approx(300)
+    want, e = mixing.plan({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 3)})
+    assert e == 1.0 and want == {"a": pytest.approx(30), "b": pytest.approx(30)}  # shares before size
+    want, e = mixing.plan({"a": 1000, "b": 10}, {"a": (0.5, 1), "b": (0.5, 3)}, least_mix=0.5)
+    assert 0 < e < 1 and sum(want.values()) == pytest.approx(505) and want["b"] <= 30 + 1e-6
+    want, e = mixing.plan({"a": 1000, "b": 100}, {"a": (0.5, 1), "b": (0.5, 3)}, budget=1000)
     assert 0 < e < 1 and want["b"] <= 300 + 1e-6 and sum(want.values()) == pytest.approx(1000)
+    want, e = mixing.plan({"a": 900, "b": 90, "c": 10}, {s: (0.3, 1) for s in "abc"}, entropy=1.0)
+    shares = np.array(list(want.values())) / sum(want.values())
+    assert 0 < e < 1 and -(shares * np.log(shares)).sum() == pytest.approx(1.0, abs=1e-6)
     assert mixing.plan({}, {"a": (1.0, 1)})[0] == {}
 
 
@@ -231,6 +290,12 @@ def test_mix(spark):
         assert abs(rep[s].reached_share - rep[s].wanted_share) < 0.01 and rep[s].most_repeats <= rep[s].max_repeats
     assert rep["missing"].out_of_reach and rep["other"].taken_tokens == 0
     assert mix.selection().groupBy("doc_id", "repeat").count().where("count > 1").isEmpty()
+    mixing.MAX_SOURCES, keep = 2, mixing.MAX_SOURCES
+    try:
+        with pytest.raises(ValueError):
+            mixing.Mix(docs, targets)
+    finally:
+        mixing.MAX_SOURCES = keep
 
 
 # 8: abuse
