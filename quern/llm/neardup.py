@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.components import components
-from quern.session import cut_lineage, stored
+from quern.session import cut_lineage, once, stored
 
 SEGMENTS, WORDS = 24, 4
 BITS = 2 * SEGMENTS * WORDS
@@ -125,7 +125,7 @@ def fingerprints(df: DataFrame, n: int) -> DataFrame:
         parts = np.split(shingles.view(np.int64), np.cumsum(size)[:-1])
         return pd.DataFrame({"shingles": parts, "print": list((_scramble(mins) >> np.uint64(32)).astype(np.uint32).view(np.int32)), "bits": list(bits_of(mins))})
 
-    return df.select("id", make("text").alias("f")).select("id", "f.*")
+    return df.select("id", once(make)("text").alias("f")).select("id", "f.*")
 
 
 def _tables(prints: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ class NearDuplicates:
         texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), plain.alias("plain"))
         texts = stored(texts.select("id", "text", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(7), "plain").alias("h2")))
         reps = texts.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-        whole = stored(fingerprints(texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), n).where(F.size("shingles") > 0))
+        whole = stored(fingerprints(texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi"), n)).where(F.size("shingles") > 0)
         self.classes = texts.select("id", "h1", "h2").join(reps, ["h1", "h2"]).select("id", "rep").join(whole.select(F.col("id").alias("rep")), "rep", "left_semi").select("id", "rep")
         tables = _tables(whole)
         x, y = tables.select(F.col("id").alias("a"), "key"), tables.select(F.col("id").alias("b"), "key").hint("merge")
