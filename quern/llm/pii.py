@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.session import cut_lineage, stored
+from quern.session import cut_lineage, once, stored
 
 ROUNDS = 3
 #: Least score of an unseen instance, by label. Names need more, as any capitalised words are candidates.
@@ -380,7 +380,7 @@ def spans_of(texts: DataFrame, lexicon: DataFrame, entries: int = BROADCAST_ENTR
                 _state.update(rows=held.value, lexicon=Lexicon(held.value))
             return pd.Series([_spans(t, _state["lexicon"]) for t in batch])
 
-        return texts.withColumn("spans", mark("text")).where(F.size("spans") > 0)
+        return texts.withColumn("spans", once(mark)("text")).where(F.size("spans") > 0)
 
     @F.pandas_udf("array<struct<label:string,instance:string>>")
     def mentioned(batch: pd.Series) -> pd.Series:
@@ -390,10 +390,10 @@ def spans_of(texts: DataFrame, lexicon: DataFrame, entries: int = BROADCAST_ENTR
     def mark_each(batch: pd.Series, own: pd.Series) -> pd.Series:
         return pd.Series([_spans(t, Lexicon((r["label"], r["instance"], r["score"]) for r in rows)) for t, rows in zip(batch, own)])
 
-    each = texts.select("h1", "h2", F.explode(mentioned("text")).alias("m")).select("h1", "h2", "m.*")
+    each = texts.select("h1", "h2", F.explode(once(mentioned)("text")).alias("m")).select("h1", "h2", "m.*")
     own = each.join(lexicon, ["label", "instance"]).groupBy("h1", "h2").agg(F.collect_list(F.struct("label", "instance", "score")).alias("own"))
     cue = F.array().cast("array<struct<label:string,instance:string,score:double>>")
-    return texts.join(own, ["h1", "h2"], "left").withColumn("spans", mark_each("text", F.coalesce("own", cue))).drop("own").where(F.size("spans") > 0)
+    return texts.join(own, ["h1", "h2"], "left").withColumn("spans", once(mark_each)("text", F.coalesce("own", cue))).drop("own").where(F.size("spans") > 0)
 
 
 _state: dict = {}
