@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import once
+
 LIMIT = 1200
 OVERLAP = 240
 
@@ -192,7 +194,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     long: Column = F.char_length("body") > limit
     ready = current_chunks(chunks)
     whole = F.array(F.struct(F.col("whole").alias("text"), F.col("heading").alias("heading"), F.col("continued").alias("continued")))
-    done = ready.withColumn("cut", cut(F.when(long, F.col("body")), F.when(long, F.col("heading")), F.when(long, F.col("lead"))))
+    done = ready.withColumn("cut", once(cut)(F.when(long, F.col("body")), F.when(long, F.col("heading")), F.when(long, F.col("lead"))))
     pieces = F.when(long & (F.size("cut") > 0), F.col("cut")).otherwise(whole)
     return (
         done.withColumn("parts", pieces)
