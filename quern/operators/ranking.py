@@ -100,7 +100,7 @@ def top_each(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_each(vectors: DataFrame, id_col: str, vec_col: str, probes: DataFrame, k: int | None = None, floor: float = -np.inf) -> DataFrame:
+def cosine_each(vectors: DataFrame, id_col: str, vec_col: str, probes: DataFrame, k: int | None = None, floor: float = -np.inf, rounded: bool = True) -> DataFrame:
     """(query, id, score) of every row against every row (query, q) of ``probes``, in blocks; scores as in ``cosine``.
 
     With ``k`` or ``floor`` at least the rows that are among the ``k`` best of a query, or reach the floor; null vectors have no score.
@@ -116,7 +116,8 @@ def cosine_each(vectors: DataFrame, id_col: str, vec_col: str, probes: DataFrame
                 v, q = (_flat(one[x])[1].to_numpy(zero_copy_only=False).reshape(n, -1) for x, n in (("v", len(ids)), ("q", len(queries))))
                 yield _best(np.nan_to_num(v @ q.T, nan=-np.inf), queries, ids, k, floor, 1e-4)
 
-    return rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 4))
+    got = rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double")
+    return got.withColumn("score", F.round("score", 4)) if rounded else got
 
 
 def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int | None = None) -> DataFrame:
