@@ -5,6 +5,7 @@ Statistics are always those of the pool that is passed in: filter first, then ra
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,22 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scores import dot
-from quern.functions.text import tokens
-from quern.session import cut_lineage
+from quern.functions.text import term_counts, tokens
+from quern.session import cut_lineage, stored
 
+#: Fixed values of the keyword score and of reciprocal rank fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Rows of a block when many queries are scored at once.
 BLOCK = 1000
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words")).withColumn("len", F.size("words"))
+    """(id, len, counts): every text is tokenised once, its terms counted inside its row; what is written is read by each step."""
+    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
+    return stored(words.select("id", F.size("words").alias("len"), term_counts(F.col("words")).alias("counts")))
+
+
+def postings(words: DataFrame) -> DataFrame:
+    """(id, len, term, tf)."""
+    return words.select("id", "len", F.inline("counts"))
 
 
 def document_frequency(words: DataFrame) -> DataFrame:
     """(term, df, uses) over the whole pool, combined on the map side."""
-    each = words.select(F.explode("words").alias("term"), "id").groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
+    return postings(words).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -49,11 +57,17 @@ def bm25(docs: DataFrame, id_col: str, text_col: str, query: str) -> DataFrame:
     spark = docs.sparkSession
     asked = spark.createDataFrame([(query,)], "q string").select(F.explode(tokens("q")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
     terms = df.join(F.broadcast(asked), "term").crossJoin(mean).select("term", "times", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hit = words.select("id", "len", F.explode("words").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "len", "term", "times", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    own = F.filter("counts", lambda c: c["term"].isin(*asked_words(query)))  # before rows are made of them
+    hit = words.select("id", "len", F.inline(own)).join(F.broadcast(terms), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hit.crossJoin(size).groupBy("id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def asked_words(query: str) -> list[str]:
+    """The distinct tokens of a query given as plain text."""
+    return sorted({w for w in re.split(r"[^a-z0-9_.\-/]+", query.lower()) if len(w) >= 2})
+
+
 def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
     """Adds ``rank`` by descending score, then id. With ``k`` the top is taken before the single-task window."""
     if k is not None:
@@ -120,14 +134,46 @@ def cosine_each(vectors: DataFrame, id_col: str, vec_col: str, probes: DataFrame
     return got.withColumn("score", F.round("score", 4)) if rounded else got
 
 
+def near_pairs(vectors: DataFrame, id_col: str, vec_col: str, block_col: str, least: float, rows: int = BLOCK) -> DataFrame:
+    """(block, a, b, score) of all pairs a < b of one block whose inner product, rounded to four places, reaches ``least``.
+
+    Blocks are cut into packs of ``rows`` vectors; two packs are one matrix product, so a hot block becomes many small
+    tasks. Null vectors are in no pair.
+    """
+    kept = vectors.where(F.col(vec_col).isNotNull()).select(F.col(block_col).alias("block"), F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    size = kept.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / rows).alias("packs"))
+    packs = kept.join(F.broadcast(size), "block").withColumn("pack", F.pmod(F.xxhash64("id"), F.col("packs")))
+    packs = packs.groupBy("block", "pack").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("v")).alias("flat"))
+    schema = "block {}, a long, b long, score double".format(dict(kept.dtypes)["block"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
+                x, y = (one[c].flatten().to_numpy() for c in ("ids", "ids2"))
+                v, w = (one[c].flatten().to_numpy().reshape(n, -1) for c, n in (("flat", len(x)), ("flat2", len(y))))
+                got = v @ w.T
+                left, right = np.nonzero(got >= least - 1e-4)
+                if one["pack"][0].as_py() == one["pack2"][0].as_py():
+                    left, right = left[keep := x[left] < y[right]], right[keep]
+                low, high = np.minimum(x[left], y[right]), np.maximum(x[left], y[right])
+                block = pa.array([one["block"][0].as_py()] * len(left), batch.column("block").type)
+                yield pa.RecordBatch.from_arrays([block, pa.array(low), pa.array(high), pa.array(got[left, right])], names=["block", "a", "b", "score"])
+
+    other = packs.select("block", F.col("pack").alias("pack2"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
+    both = packs.join(other.hint("merge"), "block").where("pack <= pack2")
+    return both.mapInArrow(score, schema).withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
+
+
 def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query, id, score) of the documents that hold a term of a row (query, text) of ``queries``, in blocks; scores as in ``bm25``.
 
     With ``k`` at least the rows that are among the ``k`` best of a query.
     """
-    words = lengths(docs, id_col, text_col)
-    size = F.broadcast(pool_size(words))
-    df = document_frequency(words).crossJoin(size).withColumn("idf", idf(F.col("df"), F.col("n")))
+    counted = lengths(docs, id_col, text_col)
+    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
+    size = F.broadcast(pool_size(counted))
+    df = document_frequency(counted).crossJoin(size).withColumn("idf", idf(F.col("df"), F.col("n")))
     mean = F.broadcast(df.agg(F.avg("idf").alias("mean_idf")))
     worth = df.crossJoin(mean).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     uses = queries.select(F.col("query").cast("long").alias("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))

@@ -13,10 +13,10 @@ represented by its best unit and its best cosine. Queries without a vector pass
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import label_list, tokens
+from quern.functions.text import term_counts, tokens
 from quern.operators.ranking import B, EPSILON, K1, RRF_K
 from quern.session import stored
 
@@ -40,15 +40,6 @@ BOOST, BOOST_LABELS = 0.4, 2
 GATE_UNITS, GATE_WORDS, GATE_INFORMATIVE, GATE_RARE, GATE_ONE_SHARE, GATE_RARE_SHARE = 20, 2, 0.5, 0.1, 0.25, 0.12
 
 
-def term_counts(words: Column) -> Column:
-    """array<struct<term, tf>> of an array of words, sorted; runs of equal words are measured in place."""
-    w = F.array_sort(words)
-    starts = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: (i == 0) | (F.get(a, i) != F.get(a, i - 1)))
-    runs = lambda a, s: F.transform(s, lambda at, k: F.struct(F.get(a, at).alias("term"), (F.coalesce(F.get(s, k + 1), F.size(a)) - at).alias("tf")))
-    one = F.transform(F.array(w), lambda a: F.when(F.size(a) > 0, F.get(F.transform(F.array(starts(a)), lambda s: runs(a, s)), F.lit(0))))
-    return F.get(one, F.lit(0))
-
-
 def units_of(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     """(pool, note, part, weight, labels, text): the current chunks of each note, or the whole note as part 0."""
     whole = F.concat_ws("\n", "name", "description", "body")

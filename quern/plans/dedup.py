@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions.scores import dot
-from quern.operators import tables
+from quern.operators import ranking, tables
 from quern.registry import query
 from quern.session import table
 
@@ -21,9 +20,7 @@ PAIRS = "pairs AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_tran
 
 def _pairs(spark, d, least):
     """Pairs inside a block (label) at or above a cosine; blocks are the operator's own partition key."""
-    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
-    a, b = v.toDF("a", "va", "label"), v.toDF("b", "vb", "label")
-    return a.join(b, "label").where("a < b").select("label", "a", "b", F.round(dot("va", "vb"), 4).alias("score")).where(F.col("score") >= least)
+    return ranking.near_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", "label", least)
 
 
 @query("joi05_near_pairs", f"WITH {PAIRS} SELECT a, b, score FROM pairs WHERE score >= 0.35")
@@ -31,15 +28,9 @@ def near_pairs(spark, d):
     return _pairs(spark, d, 0.35).select("a", "b", "score")
 
 
-@query("joi06_veto_antijoin", f"WITH {PAIRS}, veto AS (SELECT DISTINCT least(memory_a, memory_b) % 500 AS a, greatest(memory_a, memory_b) % 500 AS b FROM verdicts WHERE upper(trim(verdict)) = 'CONTRADICT') SELECT a, b, score FROM pairs WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM veto WHERE veto.a = pairs.a OR veto.b = pairs.b)")
-def veto_antijoin(spark, d):
-    v = table(spark, d, "verdicts").where(F.upper(F.trim("verdict")) == "CONTRADICT").select((F.least("memory_a", "memory_b") % 500).alias("a"), (F.greatest("memory_a", "memory_b") % 500).alias("b"))
-    return _pairs(spark, d, 0.3).select("a", "b", "score").join(v.select("a").distinct(), "a", "left_anti").join(v.select("b").distinct(), "b", "left_anti").select("a", "b", "score")
-
-
-@query("joi06_veto_pairs", f"WITH {PAIRS}, veto AS (SELECT DISTINCT least(memory_a, memory_b) AS a, greatest(memory_a, memory_b) AS b FROM verdicts WHERE upper(trim(verdict)) = 'CONTRADICT') SELECT a, b, score FROM pairs WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM veto WHERE veto.a = pairs.a AND veto.b = pairs.b)")
+@query("joi06_veto_antijoin", f"WITH {PAIRS}, veto AS (SELECT DISTINCT least(memory_a, memory_b) AS a, greatest(memory_a, memory_b) AS b FROM verdicts WHERE upper(trim(verdict)) = 'CONTRADICT') SELECT a, b, score FROM pairs WHERE score >= 0.3 AND NOT EXISTS (SELECT 1 FROM veto WHERE veto.a = pairs.a AND veto.b = pairs.b)")
 def veto_pairs(spark, d):
-    """The pairs that no veto names, by both ends and whole ids; ``joi06_veto_antijoin`` keeps the folded ids of its SQL twin."""
+    """The pairs that no veto names, by both ends and whole ids."""
     return without_vetoes(_pairs(spark, d, 0.3), table(spark, d, "verdicts")).select("a", "b", "score")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores
+from quern.operators import ordered
 from quern.registry import query
 from quern.session import table
 
@@ -17,12 +18,17 @@ def _labelled(spark, d):
     return table(spark, d, "documents").select("doc_id", "n_chars", "source").join(l, "doc_id")
 
 
-@query("agg22_threshold_sweep", f"WITH {LAB} g AS (SELECT unnest([250, 500, 1000, 2000, 4000]) AS t), c AS (SELECT t, count(*) FILTER (n_chars >= t AND bad) AS tp, count(*) FILTER (n_chars >= t AND NOT bad) AS fp, count(*) FILTER (n_chars < t AND bad) AS fn FROM x, g GROUP BY t) SELECT t AS threshold, tp, fp, fn, round(2.0 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1 FROM c")
+GRID = (0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
+PAIRS = "v AS (SELECT least(memory_a, memory_b) AS a, greatest(memory_a, memory_b) AS b, arg_max(upper(trim(verdict)), (judged_at, verdict_id)) = 'MERGE' AS same, max(cosine) AS cosine FROM verdicts WHERE upper(trim(verdict)) <> 'UNSURE' GROUP BY ALL)"
+
+
+@query("agg22_threshold_sweep", f"WITH {PAIRS}, g AS (SELECT unnest({list(GRID)}) AS threshold), c AS (SELECT threshold, count(*) FILTER (cosine >= threshold AND same) AS tp, count(*) FILTER (cosine >= threshold AND NOT same) AS fp, count(*) FILTER (cosine < threshold AND same) AS fn FROM v, g WHERE cosine IS NOT NULL GROUP BY threshold) SELECT threshold::DOUBLE AS threshold, tp, fp, fn, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6)::DOUBLE AS f1 FROM c")
 def threshold_sweep(spark, d):
-    """Confusion counts of a score (here the length) at each threshold of a grid."""
-    x = _labelled(spark, d).select("bad", "n_chars", F.explode(F.array(*[F.lit(t) for t in (250, 500, 1000, 2000, 4000)])).alias("threshold"))
-    over = F.col("n_chars") >= F.col("threshold")
-    c = x.groupBy("threshold").agg(F.count_if(over & F.col("bad")).alias("tp"), F.count_if(over & ~F.col("bad")).alias("fp"), F.count_if(~over & F.col("bad")).alias("fn"))
+    """Confusion counts of the cosine of judged pairs at each threshold of a grid."""
+    v = table(spark, d, "verdicts").where(F.upper(F.trim("verdict")) != "UNSURE").groupBy(F.least("memory_a", "memory_b").alias("a"), F.greatest("memory_a", "memory_b").alias("b")).agg((F.max_by(F.upper(F.trim("verdict")), F.struct("judged_at", "verdict_id")) == "MERGE").alias("same"), F.max("cosine").alias("cosine")).where("cosine is not null")
+    x = v.select("same", "cosine", F.explode(F.array(*[F.lit(t) for t in GRID])).alias("threshold"))
+    over = F.col("cosine") >= F.col("threshold")
+    c = x.groupBy("threshold").agg(F.count_if(over & F.col("same")).alias("tp"), F.count_if(over & ~F.col("same")).alias("fp"), F.count_if(~over & F.col("same")).alias("fn"))
     return c.withColumn("f1", F.round(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
 
 
@@ -47,10 +53,16 @@ def _twice(spark, d):
     return a.join(b, "doc_id").where("ia < ib")
 
 
-@query("sta02_mcnemar_counts", f"WITH {RATER} z AS (SELECT 1) SELECT count(*) FILTER (a = b) AS same, count(*) FILTER (a = 'abusive' AND b = 'clean') AS first_only, count(*) FILTER (a = 'clean' AND b = 'abusive') AS second_only FROM r")
-def mcnemar_counts(spark, d):
+@query("sta02_mcnemar", f"WITH {RATER} c AS (SELECT count(*) FILTER (a = b) AS same, count(*) FILTER (a = 'abusive' AND b = 'clean') AS first_only, count(*) FILTER (a = 'clean' AND b = 'abusive') AS second_only FROM r), t AS (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) AS tail FROM (SELECT first_only + second_only AS n, unnest(range(0, least(first_only, second_only) + 1)) AS i FROM c)) SELECT same, first_only, second_only, round(least(1.0, 2 * tail), 6) AS p FROM c, t")
+def mcnemar(spark, d):
+    """Paired counts and the exact two-sided binomial tail of the pairs that differ."""
     r = _twice(spark, d)
-    return r.agg(F.count_if(F.col("a") == F.col("b")).alias("same"), F.count_if((F.col("a") == "abusive") & (F.col("b") == "clean")).alias("first_only"), F.count_if((F.col("a") == "clean") & (F.col("b") == "abusive")).alias("second_only"))
+    c = r.agg(F.count_if(F.col("a") == F.col("b")).alias("same"), F.count_if((F.col("a") == "abusive") & (F.col("b") == "clean")).alias("first_only"), F.count_if((F.col("a") == "clean") & (F.col("b") == "abusive")).alias("second_only"))
+    n = (F.col("first_only") + F.col("second_only")).cast("double")
+    # the logarithm of each term from the one before it
+    start = F.struct((-n * F.log(F.lit(2.0))).alias("log"), F.lit(0.0).alias("sum"))
+    tail = F.aggregate(F.sequence(F.lit(0), F.least("first_only", "second_only").cast("int")), start, lambda s, i: F.struct((s["log"] + F.when(n > i, F.log(n - i) - F.log(i + F.lit(1.0))).otherwise(0.0)).alias("log"), (s["sum"] + F.exp(s["log"])).alias("sum")), lambda s: s["sum"])
+    return c.select("same", "first_only", "second_only", F.round(F.least(F.lit(1.0), 2 * tail), 6).alias("p"))
 
 
 @query("sta06_kappa", f"WITH {RATER} s AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (a = b) AS o, count(*) FILTER (a = 'abusive') AS a1, count(*) FILTER (b = 'abusive') AS b1 FROM r), e AS (SELECT n, o / n AS po, (a1 / n) * (b1 / n) + (1 - a1 / n) * (1 - b1 / n) AS pe FROM s) SELECT n::BIGINT AS n, round((po - pe) / (1 - pe), 6) AS kappa FROM e")
@@ -61,10 +73,12 @@ def kappa(spark, d):
     return s.select("n", F.round(F.try_divide(po - pe, 1 - pe), 6).alias("kappa"))
 
 
-@query("sta04_holm", "WITH p AS (SELECT event_type, round(count(*) FILTER (value > 100)::DOUBLE / count(*), 6) AS p FROM events GROUP BY event_type), k AS (SELECT *, row_number() OVER (ORDER BY p, event_type) AS i, count(*) OVER () AS m FROM p) SELECT event_type, p, round(least(1.0, max((m - i + 1) * p) OVER (ORDER BY i)), 6) AS adjusted FROM k")
+@query("sta04_holm", "WITH p AS (SELECT event_type, round(least(1.0, 2 * exp(-2.0 * count(*) * pow(count(*) FILTER (value > 50)::DOUBLE / count(*) - (SELECT count(*) FILTER (value > 50)::DOUBLE / count(*) FROM events), 2))), 6) AS p FROM events GROUP BY event_type), k AS (SELECT *, row_number() OVER (ORDER BY p, event_type) AS i, count(*) OVER () AS m FROM p) SELECT event_type, p, round(least(1.0, max((m - i + 1) * p) OVER (ORDER BY i)), 6) AS adjusted FROM k")
 def holm(spark, d):
-    """Holm's step-down adjustment by a running maximum."""
-    p = table(spark, d, "events").groupBy("event_type").agg(F.round(F.count_if(F.col("value") > 100) / F.count(F.lit(1)), 6).alias("p"))
+    """Holm's step-down adjustment of Hoeffding bounds on the chance that a type differs from all; one row a type."""
+    x = table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 50).alias("k"), F.count(F.lit(1)).alias("n"))
+    every = F.broadcast(x.agg((F.sum("k") / F.sum("n")).alias("base")))
+    p = x.crossJoin(every).select("event_type", F.round(F.least(F.lit(1.0), 2 * F.exp(-2.0 * F.col("n") * F.pow(F.col("k") / F.col("n") - F.col("base"), 2))), 6).alias("p"))
     k = p.withColumn("i", F.row_number().over(Window.orderBy("p", "event_type"))).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy()))
     return k.select("event_type", "p", F.round(F.least(F.lit(1.0), F.max((F.col("m") - F.col("i") + 1) * F.col("p")).over(Window.orderBy("i"))), 6).alias("adjusted"))
 
@@ -82,8 +96,9 @@ def theil_sen(spark, d):
 @query("agg24_percentiles", "SELECT event_type, max(CASE WHEN i = floor(0.5 * n) + 1 THEN value END) AS p50, max(CASE WHEN i = floor(0.95 * n) + 1 THEN value END) AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def percentiles(spark, d):
     """The value at index floor(p n) of the sorted values."""
-    w = Window.partitionBy("event_type")
-    x = table(spark, d, "events").withColumn("i", F.row_number().over(w.orderBy("value", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    x = table(spark, d, "events").select("event_type", "value", "event_id")
+    n = x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    x = ordered.numbered(x, ["value", "event_id"], ["event_type"]).join(n, "event_type")
     at = lambda p: F.max(F.when(F.col("i") == F.floor(p * F.col("n")) + 1, F.col("value")))
     return x.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 

@@ -22,24 +22,12 @@ def import_report(spark, d):
     return table(spark, d, "entries").groupBy("import_file").agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.col("text").isNull() | (F.trim("text") == "")).alias("blank"), F.count_if(F.col("category").isNull()).alias("no_category"), F.count_if(F.col("redacted").isNull()).alias("no_claim"))
 
 
-SNAP = "r AS (SELECT root, path, rev, content_hash, deleted_at IS NOT NULL AS gone, row_number() OVER (PARTITION BY root, path ORDER BY rev, content_hash) AS up, row_number() OVER (PARTITION BY root, path ORDER BY rev DESC, content_hash DESC) AS down FROM memories), "
-
-
-@query("idx01_scan_plan", f"WITH {SNAP} b AS (SELECT * FROM r WHERE up = 1 AND rev % 3 <> 0), a AS (SELECT * FROM r WHERE down = 1 AND NOT gone AND rev % 5 <> 0), j AS (SELECT coalesce(a.root, b.root) AS root, coalesce(a.path, b.path) AS path, b.content_hash AS oh, b.gone AS wg, a.content_hash AS nh FROM b FULL JOIN a ON a.root = b.root AND a.path = b.path), lost AS (SELECT oh, row_number() OVER (PARTITION BY oh ORDER BY root, path) AS i FROM j WHERE nh IS NULL AND NOT wg), fresh AS (SELECT *, row_number() OVER (PARTITION BY nh ORDER BY root, path) AS i FROM j WHERE oh IS NULL) SELECT root, path, CASE WHEN lost.i IS NULL THEN 'insert' ELSE 'move' END AS op FROM fresh LEFT JOIN lost ON lost.oh = fresh.nh AND lost.i = fresh.i UNION ALL SELECT root, path, CASE WHEN nh IS NULL THEN CASE WHEN wg THEN 'same' ELSE 'delete' END WHEN wg THEN 'revive' WHEN oh <> nh THEN 'update' ELSE 'same' END FROM j WHERE oh IS NOT NULL")
-def scan_plan(spark, d):
-    """Two made-up snapshots: the oldest versions of some notes against the newest live ones of others."""
-    m = table(spark, d, "memories").select("root", "path", "rev", "content_hash", F.col("deleted_at").isNotNull().alias("gone"))
-    old = m.groupBy("root", "path").agg(F.min_by(F.struct("rev", "content_hash", "gone"), F.struct("rev", "content_hash")).alias("r")).select("root", "path", "r.*").where("rev % 3 <> 0")
-    new = tables.newest(m, ["root", "path"], ["rev", "content_hash"]).where("not gone and rev % 5 <> 0")
-    return tables.scan_plan(old, new, ["root", "path"])
-
-
 CUT = "cut AS (SELECT (epoch_us(min(updated_at)) + epoch_us(max(updated_at))) // 2 AS mid FROM memories), r AS (SELECT root, path, rev, content_hash, deleted_at IS NOT NULL AS gone, row_number() OVER (PARTITION BY root, path ORDER BY rev DESC, content_hash DESC) AS down, epoch_us(updated_at) <= mid AS early FROM memories, cut), o AS (SELECT *, row_number() OVER (PARTITION BY root, path ORDER BY rev DESC, content_hash DESC) AS up FROM r WHERE early), "
 
 
-@query("idx01_scan_plan_cut", f"WITH {CUT} b AS (SELECT * FROM o WHERE up = 1), a AS (SELECT * FROM r WHERE down = 1 AND NOT gone), j AS (SELECT coalesce(a.root, b.root) AS root, coalesce(a.path, b.path) AS path, b.content_hash AS oh, b.gone AS wg, a.content_hash AS nh FROM b FULL JOIN a ON a.root = b.root AND a.path = b.path), lost AS (SELECT oh, row_number() OVER (PARTITION BY oh ORDER BY root, path) AS i FROM j WHERE nh IS NULL AND NOT wg), fresh AS (SELECT *, row_number() OVER (PARTITION BY nh ORDER BY root, path) AS i FROM j WHERE oh IS NULL) SELECT root, path, CASE WHEN lost.i IS NULL THEN 'insert' ELSE 'move' END AS op FROM fresh LEFT JOIN lost ON lost.oh = fresh.nh AND lost.i = fresh.i UNION ALL SELECT root, path, CASE WHEN nh IS NULL THEN CASE WHEN wg THEN 'same' ELSE 'delete' END WHEN wg THEN 'revive' WHEN oh <> nh THEN 'update' ELSE 'same' END FROM j WHERE oh IS NOT NULL")
-def scan_plan_cut(spark, d):
-    """The state at the middle of ``updated_at`` against the last one, of all notes; ``idx01_scan_plan`` keeps the thinned snapshots of its SQL twin."""
+@query("idx01_scan_plan", f"WITH {CUT} b AS (SELECT * FROM o WHERE up = 1), a AS (SELECT * FROM r WHERE down = 1 AND NOT gone), j AS (SELECT coalesce(a.root, b.root) AS root, coalesce(a.path, b.path) AS path, b.content_hash AS oh, b.gone AS wg, a.content_hash AS nh FROM b FULL JOIN a ON a.root = b.root AND a.path = b.path), lost AS (SELECT oh, row_number() OVER (PARTITION BY oh ORDER BY root, path) AS i FROM j WHERE nh IS NULL AND NOT wg), fresh AS (SELECT *, row_number() OVER (PARTITION BY nh ORDER BY root, path) AS i FROM j WHERE oh IS NULL) SELECT root, path, CASE WHEN lost.i IS NULL THEN 'insert' ELSE 'move' END AS op FROM fresh LEFT JOIN lost ON lost.oh = fresh.nh AND lost.i = fresh.i UNION ALL SELECT root, path, CASE WHEN nh IS NULL THEN CASE WHEN wg THEN 'same' ELSE 'delete' END WHEN wg THEN 'revive' WHEN oh <> nh THEN 'update' ELSE 'same' END FROM j WHERE oh IS NOT NULL")
+def scan_plan(spark, d):
+    """The state at the middle of ``updated_at`` against the last one, of all notes."""
     old, new = snapshots(table(spark, d, "memories"))
     return tables.scan_plan(old, new, ["root", "path"])
 
@@ -53,9 +41,13 @@ def snapshots(memories):
     return newest(early), newest(m.drop("us")).where("not gone")
 
 
-@query("fil21_shrink_guard", "WITH x AS (SELECT root, count(*) AS live, count(*) FILTER (archived_at IS NOT NULL OR deleted_at IS NOT NULL) AS deletes FROM memories GROUP BY root) SELECT root, live, deletes, CASE WHEN live < 10 THEN deletes > 1 ELSE deletes > 0.1 * live END AS blocked FROM x")
+@query("fil21_shrink_guard", "WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY rev DESC) AS n FROM memories) WHERE n = 1), x AS (SELECT root, count(*) FILTER (archived_at IS NULL) AS live, count(*) FILTER (archived_at IS NULL AND deleted_at IS NOT NULL) AS deletes FROM m GROUP BY root), a AS (SELECT * FROM x UNION ALL SELECT '*', sum(live), sum(deletes) FROM x) SELECT root, live::BIGINT AS live, deletes::BIGINT AS deletes, CASE WHEN live < 10 THEN deletes > 1 ELSE deletes > 0.1 * live END AS blocked FROM a")
 def shrink_guard(spark, d):
-    x = table(spark, d, "memories").groupBy("root").agg(F.count(F.lit(1)).alias("live"), F.count_if(~tables.live()).alias("deletes"))
+    """Whether a run would delete too much: more than a tenth (or more than one of fewer than ten), by root and over all (``*``)."""
+    m = tables.newest(table(spark, d, "memories").select("memory_id", "root", "archived_at", "deleted_at", "rev"), ["memory_id"], ["rev"])
+    shown = F.col("archived_at").isNull()
+    x = m.groupBy("root").agg(F.count_if(shown).alias("live"), F.count_if(shown & F.col("deleted_at").isNotNull()).alias("deletes"))
+    x = x.unionByName(x.agg(F.lit("*").alias("root"), F.sum("live").alias("live"), F.sum("deletes").alias("deletes")))
     return x.withColumn("blocked", F.when(F.col("live") < 10, F.col("deletes") > 1).otherwise(F.col("deletes") > 0.1 * F.col("live")))
 
 
@@ -107,12 +99,14 @@ def category(spark, d):
     return m.select("memory_id", "rev", F.when(F.col("path").rlike("^(user|feedback|project|reference)_"), F.regexp_extract("path", "^([a-z]+)_", 1)).when(own != "", own).otherwise("note").alias("kind"))
 
 
-@query("agg28_tree_digest", "SELECT root, sha256(string_agg(path || ':' || content_hash, chr(10) ORDER BY path, content_hash)) AS digest FROM (SELECT DISTINCT root, path, content_hash FROM memories) GROUP BY root")
+@query("agg28_tree_digest", "WITH b AS (SELECT root, substr(sha256(path), 1, 3) AS bucket, sha256(string_agg(path || ':' || content_hash, chr(10) ORDER BY path, content_hash)) AS h FROM (SELECT DISTINCT root, path, content_hash FROM memories) GROUP BY ALL) SELECT root, sha256(string_agg(bucket || h, chr(10) ORDER BY bucket)) AS digest FROM b GROUP BY root")
 def tree_digest(spark, d):
-    """One digest a root over its sorted paths and hashes."""
+    """One digest a root over the digests of its 4,096 buckets of paths, each over its sorted paths and hashes: no root is collected whole."""
     m = table(spark, d, "memories").select("root", "path", "content_hash").distinct()
-    lines = m.groupBy("root").agg(F.array_sort(F.collect_list(F.struct("path", "content_hash"))).alias("x"))
-    return lines.select("root", F.sha2(F.concat_ws("\n", F.transform("x", lambda r: F.concat_ws(":", r["path"], r["content_hash"]))), 256).alias("digest"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("path", "content_hash"))), lambda r: F.concat_ws(":", r["path"], r["content_hash"]))
+    buckets = m.groupBy("root", F.substring(F.sha2("path", 256), 1, 3).alias("bucket")).agg(F.sha2(F.concat_ws("\n", line), 256).alias("h"))
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda r: F.concat(r["bucket"], r["h"]))
+    return buckets.groupBy("root").agg(F.sha2(F.concat_ws("\n", joined), 256).alias("digest"))
 
 
 @query("dat01_parse_times", "SELECT entry_id, created_at, CASE WHEN regexp_matches(created_at, '^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d') THEN strptime(created_at[1:19], '%Y-%m-%dT%H:%M:%S') - CASE WHEN regexp_matches(created_at, '[+-]\\d\\d:?\\d\\d$') THEN to_minutes((CASE WHEN regexp_extract(created_at, '([+-])\\d\\d:?\\d\\d$', 1) = '-' THEN -1 ELSE 1 END * (regexp_extract(created_at, '[+-](\\d\\d):?\\d\\d$', 1)::BIGINT * 60 + regexp_extract(created_at, '[+-]\\d\\d:?(\\d\\d)$', 1)::BIGINT))) ELSE to_minutes(0) END END AS at FROM (SELECT DISTINCT entry_id, created_at FROM entries)".replace(" AS at", " AS parsed"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quern.functions.scores import dot
 from quern.functions.text import label_list, tokens, tokens_with_parts
 from quern.operators import ranking, tables
+from quern.operators.recall import STOP_WORDS
+from quern.plans.trust import HUB, hub_notes
 from quern.registry import query
 from quern.session import table
 
@@ -24,11 +26,6 @@ def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
 
-@query("ret01_bm25_topk", f"WITH {BM25} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores ORDER BY score DESC, id LIMIT 20")
-def bm25_topk(spark, d):
-    return ranking.ranked(ranking.bm25(_docs(spark, d), "doc_id", "text", ASK), 20)
-
-
 @query("mth02_bm25_scores", f"WITH {BM25} SELECT id, score FROM scores")
 def bm25_scores(spark, d):
     return ranking.bm25(_docs(spark, d), "doc_id", "text", ASK)
@@ -56,7 +53,7 @@ def mean_idf(spark, d):
     return freq.agg(F.round(F.avg("idf"), 6).alias("mean_idf"), F.count_if(F.col("idf") < 0).alias("negative"))
 
 
-STOP = ("and", "after", "the", "has", "no", "when")
+STOP = STOP_WORDS
 
 
 @query("fil05_real_terms", f"WITH {BM25}, t AS (SELECT term, df FROM freq JOIN q USING (term) WHERE term NOT IN {STOP} OR df <= (SELECT n / 20 FROM size)) SELECT e.id, count(*) AS real_terms FROM each e JOIN t USING (term) GROUP BY e.id")
@@ -66,7 +63,7 @@ def real_terms(spark, d):
     asked = spark.createDataFrame([(ASK,)], "q string").select(F.explode(tokens("q")).alias("term")).distinct()
     freq = ranking.document_frequency(words).join(F.broadcast(asked), "term").crossJoin(F.broadcast(ranking.pool_size(words)))
     real = freq.where(~F.col("term").isin(*STOP) | (F.col("df") <= F.col("n") / 20)).select("term")
-    return words.select("id", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(real), "term").groupBy("id").agg(F.count(F.lit(1)).alias("real_terms"))
+    return ranking.postings(words).select("id", "term").join(F.broadcast(real), "term").groupBy("id").agg(F.count(F.lit(1)).alias("real_terms"))
 
 
 @query("mth03_coverage", f"WITH {WORDS} q AS (SELECT DISTINCT unnest({TOK.format(chr(39) + ASK + chr(39))}) AS term), h AS (SELECT DISTINCT id, term FROM (SELECT id, unnest(w) AS term FROM words) JOIN q USING (term)), f AS (SELECT term, count(*) AS df FROM h GROUP BY term), c AS (SELECT q.term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS v FROM q LEFT JOIN f USING (term), size) SELECT h.id, round(sum(v) / (SELECT sum(v) FROM c), 4) AS coverage FROM h JOIN c USING (term) GROUP BY h.id")
@@ -74,7 +71,8 @@ def coverage(spark, d):
     """Share of the query's idf mass that a document holds; unseen terms are charged the highest idf."""
     words = ranking.lengths(_docs(spark, d), "doc_id", "text")
     asked = spark.createDataFrame([(ASK,)], "q string").select(F.explode(tokens("q")).alias("term")).distinct()
-    hits = words.select("id", F.explode(F.array_distinct("words")).alias("term")).join(F.broadcast(asked), "term")
+    own = F.filter("counts", lambda c: c["term"].isin(*ranking.asked_words(ASK)))
+    hits = words.select("id", "len", F.inline(own)).select("id", "term")
     df = F.coalesce("df", F.lit(0))
     worth = asked.join(hits.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term", "left").crossJoin(F.broadcast(ranking.pool_size(words))).select("term", F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)).alias("v"))
     total = F.broadcast(worth.agg(F.sum("v").alias("total")))
@@ -82,26 +80,6 @@ def coverage(spark, d):
 
 
 DOT = "list_sum(list_transform(list_zip(e.embedding, p.q), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-COS = f"cos AS (SELECT e.vec_id AS id, round({DOT}, 4) AS score FROM embeddings e, (SELECT embedding AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) p)"
-
-
-def _cosines(spark, d):
-    vectors = table(spark, d, "embeddings")
-    probe = vectors.agg(F.min_by("embedding", "vec_id").alias("q"))
-    return ranking.cosine(vectors, "vec_id", "embedding", probe)
-
-
-@query("mth05_cosine_topk", f"WITH {COS} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cos ORDER BY score DESC, id LIMIT 20")
-def cosine_topk(spark, d):
-    return ranking.ranked(_cosines(spark, d), 20)
-
-
-@query("win02_hybrid_rrf", f"WITH {BM25}, {COS}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scores QUALIFY rank <= 200), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM cos QUALIFY rank <= 200), f AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM f ORDER BY score DESC, id LIMIT 50")
-def hybrid_rrf(spark, d):
-    """Both lists at candidate depth 200, fused, top 50."""
-    a = ranking.ranked(ranking.bm25(_docs(spark, d), "doc_id", "text", ASK), 200)
-    b = ranking.ranked(_cosines(spark, d), 200)
-    return ranking.ranked(ranking.fuse(a, b), 50)
 
 
 CHUNKS = "c AS (SELECT chunk_id AS id, parent_id, list_distinct(" + TOK.format("search_text") + ") AS w FROM (SELECT *, row_number() OVER (PARTITION BY parent_id, chunk_index ORDER BY rev DESC, chunk_id DESC) AS n FROM memory_chunks) WHERE n = 1)"
@@ -154,34 +132,7 @@ def label_postings(spark, d):
     return each.groupBy("label").agg(F.count(F.lit(1)).alias("df"), F.countDistinct("root").alias("roots"), F.min("memory_id").alias("first_id"))
 
 
-SELECTED = f"WITH {COS}, r AS (SELECT id % 7 AS query, id, score FROM cos), t AS (SELECT *, max(score) OVER (PARTITION BY query) AS top, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM r), k AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM t WHERE (score >= 0.2 OR (place = 1 AND score >= 0.18)) AND score >= top - 0.5)"
-
-
-def _selected(spark, d):
-    return ranking.select_rows(_cosines(spark, d).withColumn("query", F.col("id") % 7), 0.2, 0.5)
-
-
-@query("fil07_floor_window_rescue", f"{SELECTED} SELECT * FROM k")
-def floor_window_rescue(spark, d):
-    return _selected(spark, d)
-
-
-@query("win14_hub_demotion", f"{SELECTED}, f AS (SELECT *, id % 3 = 0 AS hub FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY query, hub ORDER BY rank) AS i FROM f) SELECT query, id, score, hub, row_number() OVER (PARTITION BY query ORDER BY hub, rank) AS rank FROM n WHERE NOT hub OR i <= 2")
-def hub_demotion(spark, d):
-    return ranking.demote(_selected(spark, d).withColumn("hub", F.col("id") % 3 == 0), "hub", 2)
-
-
-@query("top09_leading_hit", f"WITH {COS}, r AS (SELECT id % 7 AS query, id, score FROM cos), t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place, lead(score) OVER (PARTITION BY query ORDER BY score DESC, id) AS next FROM r) SELECT query, id, score, round(score - next, 4) AS margin FROM t WHERE place = 1 AND score >= 0.2 AND score - next >= 0.05")
-def leading_hit(spark, d):
-    """The first hit, where it is good by itself and well ahead of the second."""
-    rows = _cosines(spark, d).withColumn("query", F.col("id") % 7)
-    best = rows.groupBy("query").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("r")).select("query", "r.*")
-    second = rows.join(F.broadcast(best.select("query", F.col("id").alias("best"))), "query").where("id <> best").groupBy("query").agg(F.max("score").alias("next"))
-    return best.join(second, "query").where("score >= 0.2 and score - next >= 0.05").select("query", "id", "score", F.round(F.col("score") - F.col("next"), 4).alias("margin"))
-
-
-# The same searches for every row whose id is a multiple of EVERY, against all rows, the row itself too.
-# The queries above keep the one probe (and buckets of ids as "queries") that their SQL twins state.
+# Searches for every row whose id is a multiple of EVERY, against all rows, the row itself too.
 EVERY = 100
 BM25_EACH = STATS + f"""q AS (SELECT id AS query, term, tf AS times FROM each WHERE id % {EVERY} = 0),
 terms AS (SELECT query, i.term, q.times, CASE WHEN i.idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idfs) ELSE i.idf END AS idf FROM idfs i JOIN q USING (term)),
@@ -201,17 +152,17 @@ def _cosines_each(spark, d, k=None, floor=float("-inf")):
     return ranking.cosine_each(vectors, "vec_id", "embedding", probes, k, floor)
 
 
-@query("ret01_bm25_topk_each", f"WITH {BM25_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM scores QUALIFY rank <= 20")
+@query("ret01_bm25_topk", f"WITH {BM25_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM scores QUALIFY rank <= 20")
 def bm25_topk_each(spark, d):
     return ranking.top_each(_bm25_each(spark, d, 20), 20)
 
 
-@query("mth05_cosine_topk_each", f"WITH {COS_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM cos QUALIFY rank <= 20")
+@query("mth05_cosine_topk", f"WITH {COS_EACH} SELECT query, id, score, {IN_EACH} AS rank FROM cos QUALIFY rank <= 20")
 def cosine_topk_each(spark, d):
     return ranking.top_each(_cosines_each(spark, d, 20), 20)
 
 
-@query("win02_hybrid_rrf_each", f"WITH {BM25_EACH}, {COS_EACH}, a AS (SELECT query, id, {IN_EACH} AS rank FROM scores QUALIFY rank <= 200), b AS (SELECT query, id, {IN_EACH} AS rank FROM cos QUALIFY rank <= 200), f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query, id) SELECT query, id, score, {IN_EACH} AS rank FROM f QUALIFY rank <= 50")
+@query("win02_hybrid_rrf", f"WITH {BM25_EACH}, {COS_EACH}, a AS (SELECT query, id, {IN_EACH} AS rank FROM scores QUALIFY rank <= 200), b AS (SELECT query, id, {IN_EACH} AS rank FROM cos QUALIFY rank <= 200), f AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query, id) SELECT query, id, score, {IN_EACH} AS rank FROM f QUALIFY rank <= 50")
 def hybrid_rrf_each(spark, d):
     """Both lists of every query at candidate depth 200, fused, top 50; a query with a text or a vector only has one list."""
     a, b = ranking.top_each(_bm25_each(spark, d, 200), 200), ranking.top_each(_cosines_each(spark, d, 200), 200)
@@ -225,17 +176,19 @@ def _selected_each(spark, d):
     return ranking.select_rows(_cosines_each(spark, d, floor=0.18), 0.2, 0.5)
 
 
-@query("fil07_floor_window_rescue_each", f"{SELECTED_EACH} SELECT * FROM k")
+@query("fil07_floor_window_rescue", f"{SELECTED_EACH} SELECT * FROM k")
 def floor_window_rescue_each(spark, d):
     return _selected_each(spark, d)
 
 
-@query("win14_hub_demotion_each", f"{SELECTED_EACH}, f AS (SELECT *, id % 3 = 0 AS hub FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY query, hub ORDER BY rank) AS i FROM f) SELECT query, id, score, hub, row_number() OVER (PARTITION BY query ORDER BY hub, rank) AS rank FROM n WHERE NOT hub OR i <= 2")
+@query("win14_hub_demotion", f"{SELECTED_EACH}, {HUB}, hn AS (SELECT note FROM h GROUP BY note HAVING count(*)::DOUBLE / (SELECT count(DISTINCT session) FROM h) > 0.4), f AS (SELECT *, id IN (SELECT note FROM hn) AS hub FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY query, hub ORDER BY rank) AS i FROM f) SELECT query, id, score, hub, row_number() OVER (PARTITION BY query ORDER BY hub, rank) AS rank FROM n WHERE NOT hub OR i <= 2")
 def hub_demotion_each(spark, d):
-    return ranking.demote(_selected_each(spark, d).withColumn("hub", F.col("id") % 3 == 0), "hub", 2).select("query", "id", "score", "hub", "rank")
+    """Notes that most sessions are shown anyway come last, at most two of them."""
+    hubs = hub_notes(spark, d).select(F.col("note").alias("id"), F.lit(True).alias("hub"))
+    return ranking.demote(_selected_each(spark, d).join(hubs, "id", "left").withColumn("hub", F.coalesce("hub", F.lit(False))), "hub", 2).select("query", "id", "score", "hub", "rank")
 
 
-@query("top09_leading_hit_each", f"WITH {COS_EACH}, t AS (SELECT *, {IN_EACH} AS place, lead(score) OVER (PARTITION BY query ORDER BY score DESC, id) AS next FROM cos) SELECT query, id, score, round(score - next, 4) AS margin FROM t WHERE place = 1 AND score >= 0.2 AND score - next >= 0.05")
+@query("top09_leading_hit", f"WITH {COS_EACH}, t AS (SELECT *, {IN_EACH} AS place, lead(score) OVER (PARTITION BY query ORDER BY score DESC, id) AS next FROM cos) SELECT query, id, score, round(score - next, 4) AS margin FROM t WHERE place = 1 AND score >= 0.2 AND score - next >= 0.05")
 def leading_hit_each(spark, d):
     rows = ranking.top_each(_cosines_each(spark, d, 2), 2)
     both = rows.groupBy("query").agg(*[F.max(F.when(F.col("rank") == n, F.col(c))).alias(to) for n, c, to in ((1, "id", "id"), (1, "score", "score"), (2, "score", "next"))])

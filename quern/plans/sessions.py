@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quern.operators import tables
+from quern.operators import ordered, tables
 from quern.registry import query
 from quern.session import table
 
@@ -21,17 +21,16 @@ def _calls(spark, d):
 @query("win09_turns", f"WITH {ONE}, t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY transcript ORDER BY line_no) AS turn FROM c) SELECT transcript, turn::BIGINT AS turn, count(*) AS rows, count(*) FILTER (tool IS NOT NULL) AS calls FROM t GROUP BY ALL")
 def turns(spark, d):
     """Rows grouped between the user rows of a transcript."""
-    w = Window.partitionBy("transcript").orderBy("line_no")
-    t = _calls(spark, d).withColumn("turn", F.sum((F.col("role") == "user").cast("int")).over(w))
+    t = ordered.scan(_calls(spark, d).select("transcript", "line_no", "role", "tool"), ["transcript"], ["line_no"], sums={"turn": (F.col("role") == "user").cast("int")})
     return t.groupBy("transcript", "turn").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("tool").isNotNull()).alias("calls"))
 
 
 @query("win10_message_islands", f"WITH {ONE}, x AS (SELECT *, coalesce(message_id, 'r' || row_id) AS m, lag(coalesce(message_id, 'r' || row_id)) OVER (PARTITION BY transcript ORDER BY line_no) AS before FROM c), i AS (SELECT *, sum((before IS DISTINCT FROM m)::INT) OVER (PARTITION BY transcript ORDER BY line_no) AS island FROM x) SELECT transcript, island::BIGINT AS island, min(line_no) AS first_line, count(*) AS parts, arg_max(text, (coalesce(length(text), 0), line_no)) AS text FROM i GROUP BY transcript, island")
 def message_islands(spark, d):
     """Consecutive lines with one message id are one message; its longest text stands."""
-    w = Window.partitionBy("transcript").orderBy("line_no")
-    x = _calls(spark, d).withColumn("m", F.coalesce("message_id", F.concat(F.lit("r"), "row_id")))
-    x = x.withColumn("b", F.lag("m").over(w)).withColumn("island", F.sum((~F.col("m").eqNullSafe(F.col("b"))).cast("int")).over(w))
+    x = _calls(spark, d).select("transcript", "line_no", "text", F.coalesce("message_id", F.concat(F.lit("r"), "row_id")).alias("m"))
+    x = ordered.scan(x, ["transcript"], ["line_no"], before={"b": F.col("m")})
+    x = ordered.scan(x, ["transcript"], ["line_no"], sums={"island": (~F.col("m").eqNullSafe(F.col("b"))).cast("int")})
     return x.groupBy("transcript", "island").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("parts"), F.max_by("text", F.when(F.col("text").isNotNull(), F.struct(F.length("text"), "line_no"))).alias("text"))
 
 
@@ -46,23 +45,16 @@ def call_pairing(spark, d):
 def asof_exposure(spark, d):
     """The last view at or before each purchase of a user: one union and one window, no pairs."""
     x = table(spark, d, "events").where(F.col("event_type").isin("view", "purchase")).select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", F.col("ts")).alias("shown"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("shown").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    return x.withColumn("shown_at", F.last("shown", ignorenulls=True).over(w)).where("shown is null").select("event_id", "shown_at")
-
-
-@query("joi07_range_join", f"WITH {ONE}, j AS (SELECT transcript, min(line_no) AS low, min(line_no) + 20 AS high FROM c GROUP BY transcript) SELECT j.transcript, count(*) AS covered, sum(coalesce(length(text), 0))::BIGINT AS chars FROM j JOIN c ON c.transcript = j.transcript AND c.line_no BETWEEN j.low AND j.high GROUP BY j.transcript")
-def range_join(spark, d):
-    c = _calls(spark, d)
-    j = c.groupBy("transcript").agg(F.min("line_no").alias("low"))
-    return c.join(j, "transcript").where("line_no between low and low + 20").groupBy("transcript").agg(F.count(F.lit(1)).alias("covered"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
+    x = ordered.scan(x.withColumn("asks", F.col("shown").isNull()), ["user_id"], ["ts", "asks", "event_id"], lasts={"shown_at": F.col("shown")})
+    return x.where("asks").select("event_id", "shown_at")
 
 
 JOB = 20
 
 
-@query("joi07_range_jobs", f"WITH {ONE}, e AS (SELECT transcript, min(line_no) AS low, max(line_no) AS high FROM c GROUP BY transcript), j AS (SELECT transcript, unnest(generate_series(low, high, {JOB})) AS first_line FROM e) SELECT j.transcript, j.first_line, count(*) AS covered, sum(coalesce(length(text), 0))::BIGINT AS chars FROM j JOIN c ON c.transcript = j.transcript AND c.line_no BETWEEN j.first_line AND j.first_line + {JOB - 1} GROUP BY ALL")
-def range_jobs(spark, d):
-    """Every transcript in consecutive jobs of ``JOB`` lines; ``joi07_range_join`` keeps the one job of its SQL twin."""
+@query("joi07_range_join", f"WITH {ONE}, e AS (SELECT transcript, min(line_no) AS low, max(line_no) AS high FROM c GROUP BY transcript), j AS (SELECT transcript, unnest(generate_series(low, high, {JOB})) AS first_line FROM e) SELECT j.transcript, j.first_line, count(*) AS covered, sum(coalesce(length(text), 0))::BIGINT AS chars FROM j JOIN c ON c.transcript = j.transcript AND c.line_no BETWEEN j.first_line AND j.first_line + {JOB - 1} GROUP BY ALL")
+def range_join(spark, d):
+    """Every transcript in consecutive jobs of ``JOB`` lines."""
     c = _calls(spark, d)
     j = c.groupBy("transcript").agg(F.min("line_no").alias("low"), F.max("line_no").alias("high")).select("transcript", F.expr(f"explode(sequence(low, high, {JOB}L))").alias("first_line"))
     return in_ranges(c.select("transcript", "line_no", "text"), j.withColumn("last_line", F.col("first_line") + JOB - 1)).groupBy("transcript", "first_line").agg(F.count(F.lit(1)).alias("covered"), F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("bigint").alias("chars"))
@@ -98,9 +90,9 @@ def next_sequence(spark, d):
 @query("win07_growth_bound", f"WITH {ONE}, r AS (SELECT transcript, line_no, sum(coalesce(length(text), 0) + coalesce(length(prompt), 0)) OVER (PARTITION BY transcript ORDER BY line_no DESC) AS run FROM c) SELECT transcript, min(line_no) AS from_line, max(run)::BIGINT AS chars FROM r WHERE run <= 2000 GROUP BY transcript")
 def growth_bound(spark, d):
     """The longest contiguous end of a transcript within 2,000 characters."""
-    w = Window.partitionBy("transcript").orderBy(F.col("line_no").desc())
     size = F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("prompt"), F.lit(0))
-    return _calls(spark, d).withColumn("run", F.sum(size).over(w)).where("run <= 2000").groupBy("transcript").agg(F.min("line_no").alias("from_line"), F.max("run").alias("chars"))
+    x = _calls(spark, d).select("transcript", "line_no", (-F.col("line_no")).alias("back"), size.alias("size"))
+    return ordered.scan(x, ["transcript"], ["back"], sums={"run": F.col("size")}).where("run <= 2000").groupBy("transcript").agg(F.min("line_no").alias("from_line"), F.max("run").alias("chars"))
 
 
 @query("sup11_recent_verdict", f"WITH {ONE}, t AS (SELECT transcript, line_no, tool, bool_or(tool = 'Recall') OVER (PARTITION BY transcript ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent FROM c WHERE tool IS NOT NULL) SELECT tool, count(*) AS calls, count(*) FILTER (recent) AS after_recall FROM t GROUP BY tool")
@@ -122,11 +114,14 @@ def tool_inputs(spark, d):
     return c.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count(F.get_json_object("tool_input", "$.command")).alias("commands"), F.count(F.get_json_object("tool_input", "$.file_path")).alias("files"))
 
 
-@query("agg11_guard_tally", """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lower(trim(source)) IN ('guard_logs', 'guard-logs')), j AS (SELECT json_extract_string(line, '$.decision') AS decision, unnest(from_json(json_extract_string(line, '$.ids'), '["BIGINT"]')) AS rule FROM (SELECT * FROM l WHERE json_valid(line) AND line LIKE '{"tool"%')), t AS (SELECT rule, count(*) FILTER (decision = 'deny') AS denies, count(*) FILTER (decision = 'override') AS overrides FROM j WHERE decision IN ('deny', 'override') GROUP BY rule) SELECT rule, denies, overrides, overrides >= 1 AND overrides::DOUBLE / greatest(denies, overrides) >= 0.5 AS quarantined FROM t""")
+@query("agg11_guard_tally", """WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lower(trim(source)) IN ('guard_logs', 'guard-logs') AND created_at > (SELECT max(created_at) FROM documents) - INTERVAL 14 DAY), j AS (SELECT json_extract_string(line, '$.decision') AS decision, unnest(from_json(json_extract_string(line, '$.ids'), '["BIGINT"]')) AS rule FROM (SELECT * FROM l WHERE json_valid(line) AND line LIKE '{"tool"%')), t AS (SELECT rule, count(*) FILTER (decision = 'deny') AS denies, count(*) FILTER (decision = 'override') AS overrides FROM j WHERE decision IN ('deny', 'override') GROUP BY rule) SELECT rule, denies, overrides, overrides >= 3 AND overrides::DOUBLE / greatest(denies, overrides) >= 0.5 AS quarantined FROM t""")
 def guard_tally(spark, d):
-    """Denies and overrides by rule from the JSON lines of guard logs."""
+    """Denies and overrides by rule in the guard logs of the last fourteen days; three overrides at half the rate quarantine a rule."""
     src = F.lower(F.trim("source"))
-    lines = table(spark, d, "documents").where(src.isin("guard_logs", "guard-logs")).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith('{"tool"') & F.try_parse_json("line").isNotNull())
+    docs = table(spark, d, "documents")
+    end = F.broadcast(docs.agg((F.max("created_at") - F.expr("INTERVAL 14 DAYS")).alias("start")))
+    recent = docs.where(src.isin("guard_logs", "guard-logs")).select("text", "created_at").crossJoin(end).where("created_at > start")
+    lines = recent.select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").startswith('{"tool"') & F.try_parse_json("line").isNotNull())
     j = lines.select(F.get_json_object("line", "$.decision").alias("decision"), F.explode(F.from_json(F.get_json_object("line", "$.ids"), "array<bigint>")).alias("rule"))
     t = j.where(F.col("decision").isin("deny", "override")).groupBy("rule").agg(F.count_if(F.col("decision") == "deny").alias("denies"), F.count_if(F.col("decision") == "override").alias("overrides"))
-    return t.withColumn("quarantined", (F.col("overrides") >= 1) & (F.col("overrides") / F.greatest("denies", "overrides", F.lit(1)) >= 0.5))
+    return t.withColumn("quarantined", (F.col("overrides") >= 3) & (F.col("overrides") / F.greatest("denies", "overrides", F.lit(1)) >= 0.5))

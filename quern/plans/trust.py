@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import scores
+from quern.operators import ordered
 from quern.registry import query
 from quern.session import table
 
@@ -50,7 +51,7 @@ def trust_score(spark, d):
 def trust_reorder(spark, d):
     s = scored(spark, d)
     f = s.select("note", F.round((1.0 / (60 + F.col("note"))) * scores.trust_factor(F.col("trust"), F.col("trials"), F.lit(0.6)), 6).alias("score"))
-    return f.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "note")))
+    return ordered.numbered(f.withColumn("low", -F.col("score")), ["low", "note"], name="rank").drop("low")
 
 
 @query("tru01_trust_report", f"WITH {SCORED}, k AS (SELECT note, trust, CASE WHEN shown >= 10 AND used = 0 THEN 'retire' WHEN trust >= 0.75 AND trials >= 10 THEN 'promote' WHEN trust < 0.58 THEN 'demote' END AS list FROM t UNION ALL SELECT note, trust, 'fix' FROM t WHERE contradicted >= 2), r AS (SELECT list, note, round(trust, 6) AS trust, row_number() OVER (PARTITION BY list ORDER BY CASE WHEN list = 'promote' THEN -trust ELSE trust END, note) AS place, count(*) OVER (PARTITION BY list) > 500 AS truncated FROM k WHERE list IS NOT NULL) SELECT * FROM r WHERE place <= 500")
@@ -59,9 +60,10 @@ def trust_report(spark, d):
     s = scored(spark, d)
     main = F.when((F.col("shown") >= 10) & (F.col("used") == 0), "retire").when((F.col("trust") >= 0.75) & (F.col("trials") >= 10), "promote").when(F.col("trust") < 0.58, "demote")
     both = s.select("note", "trust", F.explode(F.array_compact(F.array(main, F.when(F.col("contradicted") >= 2, "fix")))).alias("list"))
-    w = Window.partitionBy("list")
-    place = F.row_number().over(w.orderBy(F.when(F.col("list") == "promote", -F.col("trust")).otherwise(F.col("trust")), "note"))
-    return both.select("list", "note", F.round("trust", 6).alias("trust"), place.alias("place"), (F.count(F.lit(1)).over(w) > 500).alias("truncated")).where("place <= 500")
+    size = both.groupBy("list").agg((F.count(F.lit(1)) > 500).alias("truncated"))
+    place = F.row_number().over(Window.partitionBy("list").orderBy(F.when(F.col("list") == "promote", -F.col("trust")).otherwise(F.col("trust")), "note"))
+    top = both.withColumn("place", place).where("place <= 500")  # cut before the sort, in every task
+    return top.join(F.broadcast(size), "list").select("list", "note", F.round("trust", 6).alias("trust"), "place", "truncated")
 
 
 @query("agg06_session_bounds", f"WITH {EV} SELECT session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM e GROUP BY session")
@@ -103,7 +105,7 @@ def timesplit_cut(spark, d):
     e = events(spark, d)
     starts = e.groupBy("session").agg(F.min("ts").alias("start"))
     n = F.broadcast(starts.agg(F.count(F.lit(1)).alias("n")))
-    cut = starts.withColumn("i", F.row_number().over(Window.orderBy("start", "session"))).crossJoin(n).where(F.col("i") == F.ceil(0.7 * F.col("n"))).select(F.col("start").alias("cut"))
+    cut = ordered.numbered(starts, ["start", "session"]).crossJoin(n).where(F.col("i") == F.ceil(0.7 * F.col("n"))).select(F.col("start").alias("cut"))
     cut = F.broadcast(cut)
     train = e.crossJoin(cut).where("ts < cut").agg(F.count(F.lit(1)).alias("train_events"))
     test = starts.crossJoin(cut).where("start >= cut").agg(F.count(F.lit(1)).alias("test_sessions"))
@@ -132,12 +134,12 @@ def pool_rate(spark, d):
     return rollup(spark, d).agg(F.sum("used").alias("used"), F.sum("shown").alias("shown")).select("*", F.round(F.try_divide("used", "shown"), 6).alias("rate"))
 
 
-@query("agg07_stale_rollups", "WITH n AS (SELECT memory_id, max(rev) AS newest FROM memories GROUP BY memory_id), c AS (SELECT memory_id, max(folded_event_id) AS folded FROM counts GROUP BY memory_id) SELECT memory_id, newest, folded FROM n JOIN c USING (memory_id) WHERE newest > folded")
+@query("agg07_stale_rollups", f"WITH {EV}, n AS (SELECT note AS memory_id, max(event_id) AS newest FROM e GROUP BY note), c AS (SELECT memory_id, max(folded_event_id) AS folded FROM counts GROUP BY memory_id) SELECT memory_id, newest, folded FROM n LEFT JOIN c USING (memory_id) WHERE newest > coalesce(folded, 0)")
 def stale_rollups(spark, d):
-    """Keys whose newest change is ahead of what was folded."""
-    n = table(spark, d, "memories").groupBy("memory_id").agg(F.max("rev").alias("newest"))
+    """Notes with an event that is newer than the last one folded into their counts."""
+    n = events(spark, d).groupBy(F.col("note").alias("memory_id")).agg(F.max("event_id").alias("newest"))
     c = table(spark, d, "counts").groupBy("memory_id").agg(F.max("folded_event_id").alias("folded"))
-    return n.join(c, "memory_id").where("newest > folded").select("memory_id", "newest", "folded")
+    return n.join(c, "memory_id", "left").where("newest > coalesce(folded, 0)").select("memory_id", "newest", "folded")
 
 
 @query("stm03_late_events", "SELECT event_type, count(*) AS kept, min(ts) AS first_ts FROM events WHERE ts <= (SELECT max(ts) FROM events) AND ts >= (SELECT max(ts) FROM events) - INTERVAL 20 DAY GROUP BY event_type")
