@@ -73,7 +73,6 @@ def test_a_veto_names_a_pair(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (501, 502), (600, 700)], "a long, b long")
     verdicts = spark.createDataFrame([(2, 1, "contradict "), (700, 600, "CONTRADICT"), (1, 3, "MERGE"), (1, 9, "CONTRADICT")], "memory_a long, memory_b long, verdict string")
     assert sorted(tuple(r) for r in dedup.without_vetoes(pairs, verdicts).collect()) == [(1, 3), (2, 3), (501, 502)]
-    assert "joi06_veto_pairs" in catalogue.queries()
 
 
 def test_ranges_reach_every_line(spark):
@@ -84,7 +83,7 @@ def test_ranges_reach_every_line(spark):
     got = {r.first_line: r["count"] for r in sessions.in_ranges(lines, ranges).groupBy("first_line").count().collect()}
     assert got == {3: 20, 23: 20, 40: 951}
     if os.path.isdir(DATA):
-        covered = catalogue.queries()["joi07_range_jobs"](spark, DATA).agg(F.sum("covered")).first()[0]
+        covered = catalogue.queries()["joi07_range_join"](spark, DATA).agg(F.sum("covered")).first()[0]
         assert covered == sessions._calls(spark, DATA).count()
 
 
@@ -126,10 +125,11 @@ def test_readers(spark, tmp_path: pathlib.Path):
     root.mkdir()
     (root / "a.md").write_text("# A\nbody")
     (root / "b.md").write_bytes("# Bé".encode("utf-16"))
+    (root / "c.md").write_bytes("# Ç".encode("utf-32"))
     (root / ".hidden.md").write_text("x")
     (root / "blank.md").write_text(" \n")
     notes = {r.path: r.content for r in readers.read_notes(spark, str(root)).collect()}
-    assert notes == {"a.md": "# A\nbody", "b.md": "# Bé"}
+    assert notes == {"a.md": "# A\nbody", "b.md": "# Bé", "c.md": "# Ç"}
     (tmp_path / "e.jsonl").write_text('{"text": "one", "labels": ["a"]}\nnot json\n{"text": " "}\n')
     assert [r.problem for r in readers.read_entries(spark, str(tmp_path / "e.jsonl")).collect()] == [None, "not JSON", "no text"]
 
@@ -139,12 +139,35 @@ def test_masks(spark):
     assert df.select(text.mask_secrets(F.col("t"))).first()[0] == "mail <email> token=*** http://u:***@h <ip>"
 
 
+def _plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+    return str(value) if isinstance(value, (list, dict)) else value
+
+
+@pytest.fixture(scope="session")
+def duck():
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for f in pathlib.Path(DATA).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    return c
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
-def test_query_runs(spark, name):
+def test_query_equals_its_twin(spark, duck, name):
     df = catalogue.queries()[name](spark, DATA)
-    assert len(set(df.columns)) == len(df.columns)
-    df.count()
+    columns = sorted(df.columns)
+    assert len(set(columns)) == len(columns)
+    got = sorted((tuple(_plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    if name in catalogue.oracle_sql():
+        want = duck.execute(catalogue.oracle_sql()[name])
+        at = [d[0] for d in want.description]
+        assert sorted(at) == columns
+        assert got == sorted((tuple(_plain(r[at.index(c)]) for c in columns) for r in want.fetchall()), key=repr)
 
 
 def test_core_does_not_import_llm():
