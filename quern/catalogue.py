@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import dedup, evaluation, ingest, lifecycle, notes, recall, redaction, relations, retrieval, sessions, star, streams, textual, trust  # noqa: F401
+from quern.plans import dedup, evaluation, extras, ingest, lifecycle, notes, recall, redaction, relations, retrieval, sessions, star, streams, textual, trust  # noqa: F401
 from quern.registry import QUERIES, TWINS
 
 
