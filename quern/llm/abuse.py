@@ -60,6 +60,7 @@ _break_ascii = "".join(_break.get(i) or chr(i) for i in range(128))
 _edges = re.compile(r"^[^\w*@$]+|[^\w*]+$")
 #: Certainly a hash: hexadecimal, two digits or more, and of digest length or with a digit that stands for no letter.
 _hash = re.compile(r"(?=(?:.*[0-9]){2})(?:[0-9a-f]{16,}|(?=.*[2689])[0-9a-f]{7,15})")
+_escape = re.compile(r"\\u(0[0-9a-f]{3})")
 _runs = re.compile(r"(.)\1{2,}")
 PAD = ""
 
@@ -83,6 +84,8 @@ def canonical(word: str) -> str:
 def raw_words(text: str) -> list[str]:
     """Words as they are written, in lower case; three or more single letters in a row are one word."""
     text = text.lower()
+    if "\\u0" in text:  # letters that an exporter left escaped
+        text = _escape.sub(lambda m: chr(int(m[1], 16)), text)
     words = text.translate(_break_ascii if text.isascii() else _break).split()
     single = [i for i, w in enumerate(words) if len(w) == 1]
     if len(single) < 3:

@@ -302,6 +302,7 @@ def test_mix(spark):
 
 def test_network_learns_and_spellings_fold():
     assert abuse.raw_words("so h o r n y or a-s-s, ok") == ["so", "horny", "or", "ass", "ok"]
+    assert abuse.raw_words("est\\u00fapido C:\\users") == ["estúpido", "c", "users"]
     assert abuse.canonical("sеx") == "sex" and abuse.canonical("h0rny") == "horny" and abuse.canonical("hornnnny") == "horny"
     r = random.Random(2)
     filler = [f"word{chr(97 + i)}" for i in range(26)]
