@@ -431,3 +431,62 @@ def chunk_table_function(spark, d):
     spark.udtf.register("quern_chunks", udtf(Chunks, returnType="chunk_index int, heading string, chars int"))
     table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("quern_documents")
     return spark.sql("SELECT d.doc_id, c.* FROM quern_documents d, LATERAL quern_chunks(d.text) c")
+
+
+@query("snk02_rewrites", "WITH v AS (SELECT DISTINCT memory_id, rev, path, root, content_hash FROM memories) SELECT memory_id, count(*) AS revisions, count(DISTINCT path) AS paths, count(DISTINCT root) AS roots, arg_max(path, (rev, path)) AS path, arg_max(content_hash, (rev, path)) AS content_hash FROM v GROUP BY memory_id HAVING count(*) > 1")
+def rewrites(spark, d):
+    """Notes rewritten in place: the id stays, the newest path and text stand."""
+    v = table(spark, d, "memories").select("memory_id", "rev", "path", "root", "content_hash").distinct()
+    last = F.struct("rev", "path")
+    return v.groupBy("memory_id").agg(F.count(F.lit(1)).alias("revisions"), F.countDistinct("path").alias("paths"), F.countDistinct("root").alias("roots"), F.max_by("path", last).alias("path"), F.max_by("content_hash", last).alias("content_hash")).where("revisions > 1")
+
+
+COS_ALL = "cos AS (SELECT p.vec_id AS query, e.vec_id AS id, round(list_sum(list_transform(list_zip(e.embedding, p.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 4) AS score FROM embeddings p, embeddings e WHERE p.vec_id % 100 = 0)"
+
+
+@query("ret04_row_pipeline", f"WITH {CURRENT}, {COS_ALL}, t AS (SELECT *, max(score) OVER (PARTITION BY query) AS top, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS place FROM cos), s AS (SELECT query, id, score FROM t WHERE (score >= 0.15 OR (place = 1 AND score >= 0.13)) AND score >= top - 0.9), j AS (SELECT s.*, m.root = q.root AS own, lower({FLAT.format('m.description')}) AS t FROM s JOIN m ON m.memory_id = s.id JOIN m q ON q.memory_id = s.query WHERE m.archived_at IS NULL AND m.deleted_at IS NULL AND trim(coalesce(m.description, '')) <> ''), u AS (SELECT *, row_number() OVER (PARTITION BY query, t ORDER BY score DESC, id) AS copy FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS i, row_number() OVER (PARTITION BY query, own ORDER BY score DESC, id) AS k FROM u WHERE copy = 1) SELECT query, id, score, own, row_number() OVER (PARTITION BY query ORDER BY CASE WHEN own AND k = 1 THEN least(i, 3) ELSE i END, i) AS place FROM r QUALIFY place <= 5")
+def row_pipeline(spark, d):
+    """Rows for every query in one plan: floor, rescue and window of the cosine, hygiene, one of equal statements, a place for an own row, five rows."""
+    v = table(spark, d, "embeddings")
+    near = ranking.cosine_each(v, "vec_id", "embedding", v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), floor=0.13)
+    s = ranking.select_rows(near, 0.15, 0.9).select("query", "id", "score")
+    m = current(spark, d)
+    rows = m.where(tables.live()).where(F.trim(F.coalesce("description", F.lit(""))) != "").select(F.col("memory_id").alias("id"), "root", F.lower(flat(F.col("description"))).alias("t"))
+    j = s.join(rows, "id").join(m.select(F.col("memory_id").alias("query"), F.col("root").alias("of")), "query").withColumn("own", F.col("root") == F.col("of"))
+    best = (F.col("score").desc(), F.col("id"))
+    u = j.withColumn("copy", F.row_number().over(Window.partitionBy("query", "t").orderBy(*best))).where("copy = 1")
+    q = Window.partitionBy("query")
+    r = u.withColumns({"i": F.row_number().over(q.orderBy(*best)), "k": F.row_number().over(Window.partitionBy("query", "own").orderBy(*best))})
+    key = F.when(F.col("own") & (F.col("k") == 1), F.least(F.col("i"), F.lit(3))).otherwise(F.col("i"))
+    return r.withColumn("place", F.row_number().over(q.orderBy(key, "i"))).where("place <= 5").select("query", "id", "score", "own", "place")
+
+
+@query("tru03_arms", f"WITH {EV}, st AS (SELECT session, min(ts) AS start FROM e GROUP BY session), cut AS (SELECT start AS cut FROM (SELECT start, row_number() OVER (ORDER BY start, session) AS i, count(*) OVER () AS n FROM st) WHERE i = ceil(0.7 * n)), fit AS (SELECT note, count(DISTINCT CASE WHEN kind = 'use' THEN session END) AS used FROM e, cut WHERE ts < cut GROUP BY note), un AS (SELECT e.session, e.note, bool_or(kind = 'use') AS relevant FROM e JOIN st USING (session), cut WHERE start >= cut AND kind IN ('recall', 'use') GROUP BY ALL), o AS (SELECT un.session, relevant, row_number() OVER (PARTITION BY un.session ORDER BY coalesce(used, 0) DESC, un.note) AS a, row_number() OVER (PARTITION BY un.session ORDER BY sha256('3-' || un.session || '-' || un.note), un.note) AS b FROM un LEFT JOIN fit USING (note)), f AS (SELECT session, min(a) AS a, min(b) AS b FROM o WHERE relevant GROUP BY session) SELECT count(*) AS sessions, round(avg(1.0 / a), 6) AS fitted, round(avg(1.0 / b), 6) AS shuffled, round(avg(1.0 / a - 1.0 / b), 6) AS gain FROM f")
+def timesplit_arms(spark, d):
+    """The time split with the order by use before the cut beside a seeded shuffle of the same rows."""
+    from quern.plans.trust import timesplit_cut
+
+    e = events(spark, d)
+    cut = F.broadcast(timesplit_cut(spark, d).select("cut"))
+    fit = e.crossJoin(cut).where("ts < cut and kind = 'use'").groupBy("note").agg(F.countDistinct("session").alias("used"))
+    test = e.groupBy("session").agg(F.min("ts").alias("start")).crossJoin(cut).where("start >= cut").select("session")
+    un = e.join(test, "session").where("kind <> 'contradiction'").groupBy("session", "note").agg(F.max(F.col("kind") == "use").alias("relevant")).join(fit, "note", "left")
+    w = Window.partitionBy("session")
+    shuffle = F.sha2(F.concat_ws("-", F.lit("3"), "session", "note"), 256)
+    o = un.withColumns({"a": F.row_number().over(w.orderBy(F.coalesce("used", F.lit(0)).desc(), "note")), "b": F.row_number().over(w.orderBy(shuffle, "note"))})
+    f = o.where("relevant").groupBy("session").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    a, b = 1.0 / F.col("a"), 1.0 / F.col("b")
+    return f.agg(F.count(F.lit(1)).alias("sessions"), F.round(F.avg(a), 6).alias("fitted"), F.round(F.avg(b), 6).alias("shuffled"), F.round(F.avg(a - b), 6).alias("gain"))
+
+
+@query("sup13_row_pick", f"WITH {CURRENT}, l AS (SELECT DISTINCT memory_id, length(coalesce(body, '')) AS chars, unnest({LABELS}) AS label FROM m), c AS (SELECT DISTINCT lower(trim(session, ' ' || chr(10) || chr(9))) AS session, row_id, unnest(list_filter(regexp_split_to_array(lower({TARGET}), '[^a-z0-9]+'), lambda x: x <> '')) AS label FROM calls WHERE tool IS NOT NULL AND json_valid(tool_input)), p AS (SELECT session, row_id, memory_id, any_value(chars) AS chars, count(*) AS shared FROM c JOIN l USING (label) GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY session, memory_id ORDER BY row_id) = 1), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY shared DESC, memory_id) <= 3), b AS (SELECT *, sum(least(chars, 800)) OVER (PARTITION BY session ORDER BY row_id, memory_id) AS run FROM t) SELECT session, row_id, memory_id, shared FROM b WHERE run <= 20000")
+def row_pick(spark, d):
+    """Notes shown beside a call: not yet delivered in the session, three at most, within the session's budget of characters."""
+    l = current(spark, d).select("memory_id", F.length(F.coalesce("body", F.lit(""))).alias("chars"), F.explode(label_list(F.col("labels"))).alias("label"))
+    c = table(spark, d, "calls").where(F.col("tool").isNotNull() & F.try_parse_json("tool_input").isNotNull())
+    c = c.select(F.lower(F.trim("session", F.lit(" \n\t"))).alias("session"), "row_id", F.explode(F.array_distinct(F.split(F.lower(F.get_json_object("tool_input", "$.target")), "[^a-z0-9]+"))).alias("label")).where("label <> ''")
+    p = c.join(l, "label").groupBy("session", "row_id", "memory_id").agg(F.max("chars").alias("chars"), F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    f = p.groupBy("session", "memory_id").agg(F.min(F.struct("row_id", "chars", "shared")).alias("r")).select("session", "memory_id", "r.*")
+    t = f.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("shared").desc(), "memory_id"))).where("n <= 3").drop("n")
+    b = ordered.scan(t, ["session"], ["row_id", "memory_id"], sums={"run": F.least("chars", F.lit(800))})
+    return b.where("run <= 20000").select("session", "row_id", "memory_id", "shared")

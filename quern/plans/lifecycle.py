@@ -409,3 +409,14 @@ def import_store(spark, d):
     e = table(spark, d, "entries").where("text is not null").groupBy(F.sha2(flat(F.col("text")), 256).alias("receipt")).agg(F.min("entry_id").alias("entry_id"))
     n = current(spark, d).where("description is not null").groupBy(F.sha2(flat(F.col("description")), 256).alias("receipt")).agg(F.min(F.col("deleted_at").isNotNull()).alias("gone"))
     return e.join(n, "receipt", "left").select("entry_id", F.when(F.col("gone").isNull(), "store").when(F.col("gone"), "revive").otherwise("have").alias("op"))
+
+
+@query("dup03_merged_text", f"WITH {SAME}, r AS (SELECT survivor, p.memory_id, list_filter(list_transform(regexp_split_to_array(coalesce(m.body, ''), '\\r?\\n'), lambda x: rtrim(x)), lambda x: trim(x) <> '') AS l FROM p JOIN m ON m.memory_id = p.memory_id), o AS (SELECT survivor, unnest(l) AS line, memory_id <> survivor AS other, memory_id, generate_subscripts(l, 1) AS i FROM r), k AS (SELECT survivor, line, min((other, memory_id, i)) AS pos FROM o GROUP BY ALL) SELECT survivor, sha256(string_agg(line, chr(10) ORDER BY pos)) AS hash, count(*) AS lines FROM k GROUP BY survivor")
+def merged_text(spark, d):
+    """The survivor's text with the lines that only merged notes have behind its own; each line once, and lines are grouped before they are gathered."""
+    body = current(spark, d).select("memory_id", F.split(F.coalesce("body", F.lit("")), r"\r?\n").alias("l"))
+    o = duplicates(spark, d).select("survivor", "memory_id").join(body, "memory_id").select("survivor", "memory_id", F.filter(F.transform("l", lambda x: F.rtrim(x)), lambda x: F.trim(x) != "").alias("l"))
+    o = o.select("survivor", (F.col("memory_id") != F.col("survivor")).alias("other"), "memory_id", F.posexplode("l").alias("i", "line"))
+    k = o.groupBy("survivor", "line").agg(F.min(F.struct("other", "memory_id", "i")).alias("at"))
+    text = F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"])
+    return k.groupBy("survivor").agg(F.sha2(F.array_join(text, "\n"), 256).alias("hash"), F.count(F.lit(1)).alias("lines"))

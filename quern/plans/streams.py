@@ -33,7 +33,12 @@ def fold_totals(spark, d):
 
 @query("stm05_citations", f"WITH x AS (SELECT user_id, event_id, event_type, ts, {NOTE} AS note FROM events WHERE event_type IN ('view', 'click')), v AS (SELECT user_id, note, min((ts, event_id)) AS first FROM x WHERE event_type = 'view' GROUP BY ALL) SELECT x.user_id, count(*) AS citations, count(DISTINCT x.note) AS notes FROM x JOIN v USING (user_id, note) WHERE event_type = 'click' AND (x.ts, x.event_id) > v.first GROUP BY x.user_id")
 def citations(spark, d):
-    return jobs.citations(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("note").alias("notes"))
+    return jobs.after_shown(spark, d, "click").groupBy("user_id").agg(F.count(F.lit(1)).alias("citations"), F.countDistinct("note").alias("notes"))
+
+
+@query("stm06_behavioural_use", f"WITH x AS (SELECT user_id, event_id, event_type, ts, {NOTE} AS note FROM events WHERE event_type IN ('view', 'purchase')), v AS (SELECT user_id, note, min((ts, event_id)) AS first FROM x WHERE event_type = 'view' GROUP BY ALL) SELECT x.user_id, count(*) AS uses, count(DISTINCT x.note) AS notes FROM x JOIN v USING (user_id, note) WHERE event_type = 'purchase' AND (x.ts, x.event_id) > v.first GROUP BY x.user_id")
+def behavioural_use(spark, d):
+    return jobs.after_shown(spark, d, "purchase").groupBy("user_id").agg(F.count(F.lit(1)).alias("uses"), F.countDistinct("note").alias("notes"))
 
 
 @query("stm07_sliding_counts", "WITH s AS (SELECT unnest(generate_series((SELECT min(ts)::DATE - 13 FROM events)::TIMESTAMP, (SELECT max(ts)::DATE FROM events)::TIMESTAMP, INTERVAL 1 DAY)) AS start) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM s JOIN events ON ts >= start AND ts < start + INTERVAL 14 DAY WHERE start + INTERVAL 14 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")

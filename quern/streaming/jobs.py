@@ -143,25 +143,30 @@ SEEN = "notes array<bigint>"
 FOUND = "user_id long, event_id long, note long, ts timestamp"
 
 
-def _citations(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Uses of a note after it was shown to the same user; what was shown is the state, at most one entry a note."""
-    seen = set(state.get[0]) if state.exists else set()
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for r in rows.itertuples():
-        if r.event_type == "view":
-            seen.add(int(r.note))
-        elif r.event_type == "click" and int(r.note) in seen:
-            out.append((int(key[0]), int(r.event_id), int(r.note), r.ts))
-    state.update((sorted(seen),))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "note", "ts"]).astype({"user_id": "int64", "event_id": "int64", "note": "int64", "ts": "datetime64[ns]"})
-
-
-def citations(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """A state machine for each user over all batches."""
-    x = event_stream(spark, sf_dir).where(F.col("event_type").isin("view", "click")).select("user_id", "event_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("note")).where("note is not null")
-    out = x.groupBy("user_id").applyInPandasWithState(_citations, FOUND, SEEN, "append", GroupStateTimeout.NoTimeout)
-    return drain(spark, out, folder or new_folder(spark, "citations"))
+def _after_shown(kind: str) -> Callable:
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = set(state.get[0]) if state.exists else set()
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        out = []
+        for r in rows.itertuples():
+            if r.event_type == "view":
+                seen.add(int(r.note))
+            elif r.event_type == kind and int(r.note) in seen:
+                out.append((int(key[0]), int(r.event_id), int(r.note), r.ts))
+        state.update((sorted(seen),))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "note", "ts"]).astype({"user_id": "int64", "event_id": "int64", "note": "int64", "ts": "datetime64[ns]"})
+
+    return step
+
+
+def after_shown(spark: SparkSession, sf_dir: str, kind: str, folder: str | None = None) -> DataFrame:
+    """Events of a kind on a note that was shown to the same user before: a state machine for each user over all batches.
+
+    What was shown is the state, at most one entry a note.
+    """
+    x = event_stream(spark, sf_dir).where(F.col("event_type").isin("view", kind)).select("user_id", "event_id", "event_type", "ts", F.get_json_object("props", "$.k").cast("long").alias("note")).where("note is not null")
+    out = x.groupBy("user_id").applyInPandasWithState(_after_shown(kind), FOUND, SEEN, "append", GroupStateTimeout.NoTimeout)
+    return drain(spark, out, folder or new_folder(spark, "shown"))
 
 
 def follow_lines(spark: SparkSession, source: str, folder: str) -> DataFrame:
