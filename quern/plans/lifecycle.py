@@ -411,7 +411,7 @@ def import_store(spark, d):
     return e.join(n, "receipt", "left").select("entry_id", F.when(F.col("gone").isNull(), "store").when(F.col("gone"), "revive").otherwise("have").alias("op"))
 
 
-@query("dup03_merged_text", f"WITH {SAME}, r AS (SELECT survivor, p.memory_id, list_filter(list_transform(regexp_split_to_array(coalesce(m.body, ''), '\\r?\\n'), lambda x: rtrim(x)), lambda x: trim(x) <> '') AS l FROM p JOIN m ON m.memory_id = p.memory_id), o AS (SELECT survivor, unnest(l) AS line, memory_id <> survivor AS other, memory_id, generate_subscripts(l, 1) AS i FROM r), k AS (SELECT survivor, line, min((other, memory_id, i)) AS pos FROM o GROUP BY ALL) SELECT survivor, sha256(string_agg(line, chr(10) ORDER BY pos)) AS hash, count(*) AS lines FROM k GROUP BY survivor")
+@query("dup03_merged_text", f"WITH {SAME}, rr AS (SELECT survivor, p.memory_id, list_filter(list_transform(regexp_split_to_array(coalesce(m.body, ''), '\\r?\\n'), lambda x: rtrim(x)), lambda x: trim(x) <> '') AS l FROM p JOIN m ON m.memory_id = p.memory_id), oo AS (SELECT survivor, unnest(l) AS line, memory_id <> survivor AS other, memory_id, generate_subscripts(l, 1) AS i FROM rr), kk AS (SELECT survivor, line, min((other, memory_id, i)) AS pos FROM oo GROUP BY ALL) SELECT survivor, sha256(string_agg(line, chr(10) ORDER BY pos)) AS hash, count(*) AS lines FROM kk GROUP BY survivor")
 def merged_text(spark, d):
     """The survivor's text with the lines that only merged notes have behind its own; each line once, and lines are grouped before they are gathered."""
     body = current(spark, d).select("memory_id", F.split(F.coalesce("body", F.lit("")), r"\r?\n").alias("l"))

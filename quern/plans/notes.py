@@ -219,7 +219,7 @@ RUN = 8
 GRAMS = "list_distinct(list_transform(range(1, len(w) - {0} + 2), lambda i: array_to_string(w[i:i + {0} - 1], ' ')))".format(RUN)
 
 
-@query("str26_phrase_overlap", f"WITH m AS (SELECT memory_id, arg_max(description, rev) AS t FROM memories GROUP BY memory_id), a AS (SELECT memory_id, unnest({GRAMS}) AS g FROM (SELECT memory_id, {TOK.format('t')} AS w FROM m) WHERE len(w) >= {RUN}), b AS (SELECT doc_id, unnest({GRAMS}) AS g FROM (SELECT doc_id, {TOK.format('text')} AS w FROM documents) WHERE len(w) >= {RUN}) SELECT memory_id, count(DISTINCT doc_id) AS docs, count(DISTINCT g) AS phrases FROM a JOIN b USING (g) GROUP BY memory_id")
+@query("str26_phrase_overlap", f"WITH m AS (SELECT memory_id, arg_max(struct_pack(d := description), rev).d AS t FROM memories GROUP BY memory_id), a AS (SELECT memory_id, unnest({GRAMS}) AS g FROM (SELECT memory_id, {TOK.format('t')} AS w FROM m) WHERE len(w) >= {RUN}), b AS (SELECT doc_id, unnest({GRAMS}) AS g FROM (SELECT doc_id, {TOK.format('text')} AS w FROM documents) WHERE len(w) >= {RUN}) SELECT memory_id, count(DISTINCT doc_id) AS docs, count(DISTINCT g) AS phrases FROM a JOIN b USING (g) GROUP BY memory_id")
 def phrase_overlap(spark, d):
     """Notes whose description shares a run of eight words with documents: an equi-join on the hashed runs."""
 
