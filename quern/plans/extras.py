@@ -21,10 +21,10 @@ from quern.session import table
 SHARED = "shared-platform-notes"
 
 
-@query("fil03_path_shadowing", f"WITH {CURRENT}, live AS (SELECT * FROM m WHERE archived_at IS NULL AND deleted_at IS NULL AND source_type = 'claude_code_md'), k AS (SELECT root, regexp_extract(path, '^([a-z]+_[a-z]+)', 1) AS p, memory_id FROM live) SELECT DISTINCT o.root AS own_root, s.memory_id AS hidden FROM k s JOIN k o ON o.p = s.p AND o.root <> s.root WHERE s.root = '{SHARED}' AND s.p <> ''")
+@query("fil03_path_shadowing", f"WITH {CURRENT}, live AS (SELECT * FROM m WHERE archived_at IS NULL AND deleted_at IS NULL AND source_type <> 'transcript_mined'), k AS (SELECT root, regexp_extract(path, '^([a-z]+_[a-z]+)', 1) AS p, memory_id FROM live) SELECT DISTINCT o.root AS own_root, s.memory_id AS hidden FROM k s JOIN k o ON o.p = s.p AND o.root <> s.root WHERE s.root = '{SHARED}' AND s.p <> ''")
 def path_shadowing(spark, d):
     """For each root the notes of the shared root that a note of its own hides by its path (the head of the file name)."""
-    k = current(spark, d).where(tables.live() & (F.col("source_type") == "claude_code_md")).select("root", F.regexp_extract("path", "^([a-z]+_[a-z]+)", 1).alias("p"), "memory_id").where("p <> ''")
+    k = current(spark, d).where(tables.live() & (F.col("source_type") != "transcript_mined")).select("root", F.regexp_extract("path", "^([a-z]+_[a-z]+)", 1).alias("p"), "memory_id").where("p <> ''")
     own = k.where(F.col("root") != SHARED).select(F.col("root").alias("own_root"), "p").distinct()
     return k.where(F.col("root") == SHARED).select("p", F.col("memory_id").alias("hidden")).join(own, "p").select("own_root", "hidden").distinct()
 
