@@ -66,6 +66,15 @@ p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.g = y.g
 near AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c >= 0.5 * (na.n + nb.n - c))"""
 P3_FOUND = f"WITH {P3_TEXTS} SELECT a AS memory_a, b AS memory_b FROM near"
 
+P3_GROUPS = f"""WITH RECURSIVE {P3_TEXTS},
+c AS (SELECT id, min(id) OVER (PARTITION BY w) AS rep, count(*) OVER (PARTITION BY w) AS copies FROM t WHERE len(w) >= 3),
+l AS (SELECT a, b FROM near WHERE a IN (SELECT rep FROM c) AND b IN (SELECT rep FROM c)),
+deg AS (SELECT rep, count(*) AS links FROM (SELECT a AS rep FROM l UNION ALL SELECT b FROM l) GROUP BY rep),
+e AS (SELECT a AS x, b AS y FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT x AS node, x AS hit FROM e UNION SELECT r.node, e.y FROM reach r JOIN e ON e.x = r.hit),
+comp AS (SELECT node AS rep, min(hit) AS group_id FROM reach GROUP BY node)
+SELECT c.id AS memory_id, coalesce(group_id, c.rep) AS group_id, c.rep, coalesce(links, 0) AS links, copies FROM c LEFT JOIN comp USING (rep) LEFT JOIN deg USING (rep) WHERE links IS NOT NULL OR copies > 1"""
+
 P4_FOUND = r"""
 WITH one AS (SELECT *, row_number() OVER (PARTITION BY transcript, line_no ORDER BY row_id) AS n FROM calls),
 t AS (
@@ -90,4 +99,4 @@ UNION SELECT s FROM t WHERE s <> '' AND s NOT IN (SELECT s FROM main WHERE p)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p4_found": P4_FOUND}
+    return {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_survivors": P2_SURVIVORS, "p3_found": P3_FOUND, "p3_groups": P3_GROUPS, "p4_found": P4_FOUND}
