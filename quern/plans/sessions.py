@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import ordered, tables
@@ -97,15 +96,19 @@ def growth_bound(spark, d):
 
 @query("sup11_recent_verdict", f"WITH {ONE}, t AS (SELECT transcript, line_no, tool, bool_or(tool = 'Recall') OVER (PARTITION BY transcript ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS recent FROM c WHERE tool IS NOT NULL) SELECT tool, count(*) AS calls, count(*) FILTER (recent) AS after_recall FROM t GROUP BY tool")
 def recent_verdict(spark, d):
-    w = Window.partitionBy("transcript").orderBy("line_no").rowsBetween(-10, -1)
-    t = _calls(spark, d).where("tool is not null").withColumn("recent", F.coalesce(F.max(F.col("tool") == "Recall").over(w), F.lit(False)))
+    """Calls with a recall among the ten calls before them: by the distance to the last one, no frame of rows."""
+    t = ordered.scan(_calls(spark, d).where("tool is not null").select("transcript", "line_no", "tool"), ["transcript"], ["line_no"], sums={"i": F.lit(1)})
+    t = ordered.scan(t, ["transcript"], ["line_no"], before={"last": F.when(F.col("tool") == "Recall", F.col("i"))})
+    t = t.withColumn("recent", F.coalesce(F.col("i") - F.col("last") <= 10, F.lit(False)))
     return t.groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.count_if("recent").alias("after_recall"))
 
 
 @query("win08_last_prompts", f"WITH {ONE}, p AS (SELECT transcript, line_no, lag(line_no, 2) OVER (PARTITION BY transcript ORDER BY line_no) AS from_line FROM c WHERE role = 'user' AND prompt IS NOT NULL) SELECT transcript, line_no, from_line FROM p")
 def last_prompts(spark, d):
-    w = Window.partitionBy("transcript").orderBy("line_no")
-    return _calls(spark, d).where("role = 'user' and prompt is not null").select("transcript", "line_no", F.lag("line_no", 2).over(w).alias("from_line"))
+    """The line of the second prompt before each prompt, where a window of the last prompts begins."""
+    x = _calls(spark, d).where("role = 'user' and prompt is not null").select("transcript", "line_no")
+    x = ordered.scan(x, ["transcript"], ["line_no"], before={"one": F.col("line_no")})
+    return ordered.scan(x, ["transcript"], ["line_no"], before={"from_line": F.col("one")}).select("transcript", "line_no", "from_line")
 
 
 @query("jsn01_tool_inputs", f"WITH {ONE} SELECT tool, count(*) AS calls, count(json_extract_string(tool_input, '$.command')) AS commands, count(json_extract_string(tool_input, '$.file_path')) AS files FROM c WHERE tool IS NOT NULL AND (tool_input IS NULL OR json_valid(tool_input)) GROUP BY tool")
