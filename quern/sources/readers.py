@@ -20,7 +20,7 @@ def decoded(content: Column) -> Column:
     """Bytes as text by their byte-order mark: UTF-32 (four bytes, looked at first), UTF-16, else UTF-8 without a mark."""
     four, two = F.hex(F.substring(content, 1, 4)), F.hex(F.substring(content, 1, 2))
     rest = lambda n: F.substring(content, n + 1, 2**31 - 1)
-    text = F.when(four == "FFFE0000", F.decode(rest(4), "UTF-32LE")).when(four == "0000FEFF", F.decode(rest(4), "UTF-32BE")).when(two == "FFFE", F.decode(rest(2), "UTF-16LE")).when(two == "FEFF", F.decode(rest(2), "UTF-16BE"))
+    text = F.when(four.isin("FFFE0000", "0000FEFF"), F.decode(content, "UTF-32")).when(two == "FFFE", F.decode(rest(2), "UTF-16LE")).when(two == "FEFF", F.decode(rest(2), "UTF-16BE"))
     return text.otherwise(F.regexp_replace(F.decode(content, "UTF-8"), "^\ufeff", ""))
 
 

@@ -1,6 +1,7 @@
 import math
 import os
 import pathlib
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,8 +141,8 @@ def test_masks(spark):
 
 
 def _plain(value):
-    if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 5) + 0.0
+    if isinstance(value, (float, Decimal)):
+        return "nan" if math.isnan(value) else round(float(value), 5) + 0.0
     return str(value) if isinstance(value, (list, dict)) else value
 
 
