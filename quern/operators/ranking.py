@@ -165,6 +165,52 @@ def near_pairs(vectors: DataFrame, id_col: str, vec_col: str, block_col: str, le
     return both.mapInArrow(score, schema).withColumn("score", F.round("score", 4)).where(F.col("score") >= least)
 
 
+class Best:
+    """What a task has to keep of the scores of its blocks: for every query the ``k`` best ids, or all from ``floor`` up.
+
+    An id may have several rows (the parts of a note); all rows count that are not below the best row of the k-th id. The bound
+    rises from block to block, so a task returns about ``k`` ids a query, however many blocks it reads.
+    """
+
+    def __init__(self, k: int | None, floor: float = -np.inf, slack: float = 1e-6):
+        self.k, self.floor, self.slack, self.packs = k, floor, slack, {}
+
+    def add(self, scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, parts: np.ndarray | None = None) -> None:
+        """``scores`` of a block [ids, queries]; -inf is no score."""
+        pack = self.packs.setdefault(queries.tobytes(), {"queries": queries, "least": np.full(len(queries), self.floor - self.slack), "rows": [], "new": 0})
+        row, column = np.nonzero((scores > -np.inf) & (scores >= pack["least"]))
+        pack["rows"].append((column, ids[row], np.zeros(len(row), np.int64) if parts is None else parts[row], scores[row, column]))
+        pack["new"] += len(row)
+        if self.k is not None and pack["new"] > 2 * self.k * len(queries):
+            self._cut(pack)
+
+    def _cut(self, pack: dict) -> None:
+        column, ids, parts, scores = (np.concatenate(x) for x in zip(*pack["rows"]))
+        order = np.lexsort((-scores, ids, column))
+        c, i, v = column[order], ids[order], scores[order]
+        first = np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1])] if len(c) else np.zeros(0, bool)
+        c, v = c[first], v[first]
+        order = np.lexsort((-v, c))
+        c, v = c[order], v[order]
+        starts = np.searchsorted(c, np.arange(len(pack["queries"])))
+        full = np.flatnonzero(np.diff(np.r_[starts, len(c)]) >= self.k)
+        pack["least"][full] = np.maximum(pack["least"][full], v[starts[full] + self.k - 1] - self.slack)
+        keep = scores >= pack["least"][column]
+        pack["rows"], pack["new"] = [(column[keep], ids[keep], parts[keep], scores[keep])], 0
+
+    def rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, ids, parts, scores), a pack of queries at a time."""
+        for pack in self.packs.values():
+            if self.k is not None:
+                self._cut(pack)
+            column, ids, parts, scores = (np.concatenate(x) for x in zip(*pack["rows"]))
+            yield pack["queries"][column], ids, parts, scores
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for queries, ids, _, scores in self.rows():
+            yield pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["query", "id", "score"])
+
+
 def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query, id, score) of the documents that hold a term of a row (query, text) of ``queries``, in blocks; scores as in ``bm25``.
 
@@ -228,6 +274,58 @@ def _bm25_block(held: pa.Array, long: np.ndarray, terms: pa.Array, wide: np.ndar
     return out
 
 
+def share_each(rows: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:
+    """(query, id, score): the share of ``most`` that the terms of a row (query, most, terms, weights) reach in a row (id, words), from about ``floor`` up."""
+    held = packed(rows.where(F.size("words") > 0).select(F.col("id").cast("long").alias("id"), "words"))
+    asks = cut_lineage(packed(asked.where(F.size("terms") > 0).select("query", "most", "terms", "weights")))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k, floor)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
+                ids, queries, most = (one[x].flatten().to_numpy() for x in ("id", "query", "most"))
+                (long, words), (wide, terms), (_, weights) = (_flat(one[x]) for x in ("words", "terms", "weights"))
+                row, column = np.repeat(np.arange(len(ids)), long), np.repeat(np.arange(len(queries)), wide)
+                best.add(block_product(row, words, np.ones(len(row)), column, terms, weights.to_numpy() / most[column], len(ids), len(queries)), queries, ids)
+        yield from best.batches()
+
+    return held.crossJoin(asks).mapInArrow(score, "query long, id long, score double")
+
+
+def block_product(row: np.ndarray, words: pa.Array, left: np.ndarray, column: np.ndarray, terms: pa.Array, right: np.ndarray, n: int, m: int) -> np.ndarray:
+    """[n, m]: sums of left * right over equal words; (row, word) and (column, term) are unique."""
+    vocabulary = terms.unique()
+    size = len(vocabulary)
+    term = pc.index_in(terms, vocabulary).to_numpy(zero_copy_only=False)
+    at = pc.index_in(words, vocabulary)
+    known = at.is_valid().to_numpy(zero_copy_only=False)
+    word, row, left = at.drop_null().to_numpy(zero_copy_only=False), row[known], left[known]
+    out = np.zeros((n, m))
+    if not len(word):
+        return out
+    in_rows, in_columns = np.bincount(word, minlength=size), np.bincount(term, minlength=size)
+    # Terms of many rows and columns are multiplied as matrices, the others pair by pair.
+    common = in_rows * in_columns > n * m // 250
+    for some in np.array_split(np.flatnonzero(common), max(1, common.sum() // 1000)):
+        place = np.full(size, -1)
+        place[some] = np.arange(len(some))
+        a, b = np.zeros((n, len(some))), np.zeros((len(some), m))
+        x, y = place[word] >= 0, place[term] >= 0
+        a[row[x], place[word[x]]] = left[x]
+        b[place[term[y]], column[y]] = right[y]
+        out += a @ b
+    order = np.argsort(term, kind="stable")
+    first = np.cumsum(in_columns) - in_columns
+    rare = np.flatnonzero(~common[word])
+    for some in np.array_split(rare, max(1, in_columns[word[rare]].sum() // 5_000_000)):
+        times = in_columns[word[some]]
+        own = np.repeat(some, times)
+        other = order[np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[word[some]], times)]
+        out += np.bincount(row[own] * m + column[other], left[own] * right[other], n * m).reshape(n, m)
+    return out
+
+
 def fuse(*lists: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """Reciprocal rank fusion of (id, rank) lists: one union and one aggregation."""
     out = lists[0].select(*by, "rank")

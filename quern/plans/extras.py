@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from quern.functions import pluggable
 from quern.functions.text import flat, label_list, tokens, tokens_with_parts
-from quern.operators import ordered, ranking, tables
+from quern.operators import labelsets, ordered, ranking, tables
 from quern.operators.recall import STOP_WORDS
 from quern.plans.lifecycle import FLAT, TOPS, _tops
 from quern.plans.notes import CURRENT, chunk_text, current
 from quern.plans.recall import STOPS, TOK
-from quern.plans.relations import LABELS, TARGET
+from quern.plans.relations import LABELS, TARGET, call_words
 from quern.plans.sessions import ONE, _calls
 from quern.plans.trust import EV, events, rollup
 from quern.registry import query
-from quern.session import table
+from quern.session import stored, table
 
 SHARED = "shared-platform-notes"
 
@@ -152,16 +152,16 @@ def fresh_rows(spark, d):
 @query("ret07_error_recall", f"WITH {CURRENT}, w AS (SELECT memory_id AS id, list_distinct({TOK.format(chr(39) + chr(39)).replace(chr(39) * 2, 'body', 1)}) AS w FROM m), n AS (SELECT count(*)::DOUBLE AS n FROM w), p AS (SELECT id, unnest(w) AS t FROM w), f AS (SELECT t, ln(1 + (n - df + 0.5) / (df + 0.5)) AS v FROM (SELECT t, count(*) AS df FROM p GROUP BY t), n), q0 AS (SELECT DISTINCT {FLAT.format('text')} AS line FROM calls WHERE is_error AND trim(text) <> ''), q AS (SELECT line, unnest(list_filter(list_distinct({TOK.format('line')}), lambda t: t NOT IN ({STOPS}))) AS t FROM q0), g AS (SELECT line, sum(coalesce(v, (SELECT max(v) FROM f))) AS most FROM q LEFT JOIN f USING (t) GROUP BY ALL), s AS (SELECT line, id, round(sum(v) / max(most), 6) AS share FROM q JOIN p USING (t) JOIN f USING (t) JOIN g USING (line) GROUP BY ALL) SELECT sha256(line) AS error, id, share FROM s WHERE share >= 0.39 QUALIFY row_number() OVER (PARTITION BY line ORDER BY share DESC, id) <= 2".replace("coalesce(body, body)", "coalesce(body, '')"))
 def error_recall(spark, d):
     """The two notes that hold most of an error's weight, from a share of 0.39 up."""
-    m = current(spark, d)
-    p = m.select(F.col("memory_id").alias("id"), F.explode(F.array_distinct(tokens("body"))).alias("t"))
+    m = stored(current(spark, d).select(F.col("memory_id").alias("id"), F.array_distinct(tokens("body")).alias("words")))
     n = F.broadcast(m.agg(F.count(F.lit(1)).cast("double").alias("n")))
-    f = p.groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("v"))
+    f = stored(m.select(F.explode("words").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("v")))
     top = F.broadcast(f.agg(F.max("v").alias("top")))
     q = table(spark, d, "calls").where("is_error and trim(text) <> ''").select(flat(F.col("text")).alias("line")).distinct()
-    q = q.select(F.sha2("line", 256).alias("query"), F.explode(F.filter(F.array_distinct(tokens("line")), lambda t: ~t.isin(*STOP_WORDS))).alias("t"))
-    most = q.join(f, "t", "left").crossJoin(top).groupBy("query").agg(F.sum(F.coalesce("v", "top")).alias("most"))
-    s = q.join(f, "t").join(p, "t").groupBy("query", "id").agg(F.sum("v").alias("got")).join(most, "query").select("query", "id", F.round(F.col("got") / F.col("most"), 6).alias("score"))
-    return ranking.top_each(s.where("score >= 0.39"), 2).select(F.col("query").alias("error"), "id", F.col("score").alias("share"))
+    q = stored(q.select(F.monotonically_increasing_id().alias("query"), F.sha2("line", 256).alias("error"), F.filter(F.array_distinct(tokens("line")), lambda t: ~t.isin(*STOP_WORDS)).alias("terms")))
+    terms = q.select("query", F.explode("terms").alias("t")).join(f, "t", "left").crossJoin(top)
+    asked = terms.groupBy("query").agg(F.sum(F.coalesce("v", "top")).alias("most"), F.collect_list(F.when(F.col("v").isNotNull(), F.col("t"))).alias("terms"), F.collect_list("v").alias("weights"))
+    s = ranking.share_each(m, asked, 2, 0.39).withColumn("score", F.round("score", 6)).where("score >= 0.39")
+    return ranking.top_each(s, 2).join(q, "query").select("error", "id", F.col("score").alias("share"))
 
 
 @query("ret08_history", "WITH r AS (SELECT DISTINCT memory_id, rev, content_hash, updated_at FROM memories), c AS (SELECT parent_id AS memory_id, count(DISTINCT chunk_index) AS parts, max(rev) AS newest_part FROM memory_chunks GROUP BY 1) SELECT memory_id, count(*) AS revisions, count(DISTINCT content_hash) AS texts, max(rev) AS rev, min(updated_at) AS first_at, max(updated_at) AS last_at, coalesce(any_value(parts), 0) AS parts FROM r LEFT JOIN c USING (memory_id) GROUP BY memory_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.scores import wilson
 from quern.functions.text import label_list, tokens
-from quern.operators import tables
+from quern.operators import labelsets, tables
 from quern.plans.evaluation import W as WILSON
 from quern.plans.notes import CURRENT, current
 from quern.plans.recall import STOPS, TOK
@@ -15,7 +15,7 @@ from quern.operators.recall import STOP_WORDS
 from quern.plans.sessions import ONE, _calls
 from quern.plans.trust import EV, events
 from quern.registry import query
-from quern.session import table
+from quern.session import stored, table
 
 COUNTS = "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY folded_event_id DESC) AS n FROM counts) WHERE n = 1)"
 LABELS = "list_distinct(list_filter(list_transform(from_json(labels, '[\"VARCHAR\"]'), lambda x: lower(trim(x))), lambda x: x <> ''))"
@@ -160,6 +160,12 @@ def label_index(spark, d):
     return each.join(f, "label").select("label", "df", "root_df", "memory_id")
 
 
+def call_words(spark, d, *keys):
+    """(keys, words): the words of the target of every call."""
+    c = table(spark, d, "calls").where(F.col("tool").isNotNull() & F.try_parse_json("tool_input").isNotNull())
+    return c.select(*keys, F.split(F.lower(F.get_json_object("tool_input", "$.target")), "[^a-z0-9]+").alias("words"))
+
+
 @query("ret10_label_match", f"WITH {CURRENT}, l AS (SELECT DISTINCT memory_id, unnest({LABELS}) AS label FROM m), n AS (SELECT count(*)::DOUBLE AS n FROM m), f AS (SELECT label, count(*) AS df FROM l GROUP BY label), q AS (SELECT DISTINCT row_id, unnest(list_filter(regexp_split_to_array(lower({TARGET}), '[^a-z0-9]+'), lambda x: x <> '')) AS label FROM calls WHERE tool IS NOT NULL AND json_valid(tool_input)), p AS (SELECT q.row_id, l.memory_id, count(*) AS shared, round(sum(ln(n / df)), 6) AS score, min(df) AS rarest FROM q JOIN l USING (label) JOIN f USING (label), n GROUP BY ALL) SELECT row_id, memory_id, shared, score, CASE WHEN shared >= 2 THEN 'pair' ELSE 'specific' END AS kind, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, memory_id) AS rank FROM p, n WHERE shared >= 2 OR rarest <= n / 50 QUALIFY rank <= 3")
 def label_match(spark, d):
     """For every call the three notes whose labels its target names best: two shared labels, or one that is rare."""
