@@ -482,11 +482,34 @@ def timesplit_arms(spark, d):
 @query("sup13_row_pick", f"WITH {CURRENT}, l AS (SELECT DISTINCT memory_id, length(coalesce(body, '')) AS chars, unnest({LABELS}) AS label FROM m), c AS (SELECT DISTINCT lower(trim(session, ' ' || chr(10) || chr(9))) AS session, row_id, unnest(list_filter(regexp_split_to_array(lower({TARGET}), '[^a-z0-9]+'), lambda x: x <> '')) AS label FROM calls WHERE tool IS NOT NULL AND json_valid(tool_input)), p AS (SELECT session, row_id, memory_id, any_value(chars) AS chars, count(*) AS shared FROM c JOIN l USING (label) GROUP BY ALL HAVING count(*) >= 2), f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY session, memory_id ORDER BY row_id) = 1), t AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY shared DESC, memory_id) <= 3), b AS (SELECT *, sum(least(chars, 800)) OVER (PARTITION BY session ORDER BY row_id, memory_id) AS run FROM t) SELECT session, row_id, memory_id, shared FROM b WHERE run <= 20000")
 def row_pick(spark, d):
     """Notes shown beside a call: not yet delivered in the session, three at most, within the session's budget of characters."""
-    l = current(spark, d).select("memory_id", F.length(F.coalesce("body", F.lit(""))).alias("chars"), F.explode(label_list(F.col("labels"))).alias("label"))
-    c = table(spark, d, "calls").where(F.col("tool").isNotNull() & F.try_parse_json("tool_input").isNotNull())
-    c = c.select(F.lower(F.trim("session", F.lit(" \n\t"))).alias("session"), "row_id", F.explode(F.array_distinct(F.split(F.lower(F.get_json_object("tool_input", "$.target")), "[^a-z0-9]+"))).alias("label")).where("label <> ''")
-    p = c.join(l, "label").groupBy("session", "row_id", "memory_id").agg(F.max("chars").alias("chars"), F.count(F.lit(1)).alias("shared")).where("shared >= 2")
-    f = p.groupBy("session", "memory_id").agg(F.min(F.struct("row_id", "chars", "shared")).alias("r")).select("session", "memory_id", "r.*")
-    t = f.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("shared").desc(), "memory_id"))).where("n <= 3").drop("n")
+    own = labelsets.sets(current(spark, d).select("memory_id", F.length(F.coalesce("body", F.lit(""))).alias("chars"), label_list(F.col("labels")).alias("own")), 3, "chars")
+    c = call_words(spark, d, F.lower(F.trim("session", F.lit(" \n\t"))).alias("session"), "row_id")
+    c = labelsets.known(c, ["session", "row_id"], own.select(F.explode("own").alias("label")).distinct()).where(F.size("asked") >= 2)
+    # notes with the same labels are delivered together, and of calls with the same labels only the first of a session delivers
+    first = stored(c.groupBy("session", "asked").agg(F.min("row_id").alias("row_id")))
+    both = stored(labelsets.shared(first, own).groupBy("asked", "own").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2"))
+    notes = own.select("own", F.inline("notes"))
+    t = stored(_undelivered(first, both, notes))
     b = ordered.scan(t, ["session"], ["row_id", "memory_id"], sums={"run": F.least("chars", F.lit(800))})
     return b.where("run <= 20000").select("session", "row_id", "memory_id", "shared")
+
+
+#: Notes of a set of labels that are looked at first; a call with fewer than three undelivered ones among them looks at all.
+PICK_DEPTH = 12
+
+
+def _undelivered(first, both, notes):
+    """(session, row_id, memory_id, chars, shared): the three best notes of a call that no earlier call of its session matches."""
+    place = Window.partitionBy("asked").orderBy(F.col("shared").desc(), "memory_id")
+    near = both.join(notes, "own").withColumn("place", F.row_number().over(place)).where(F.col("place") <= PICK_DEPTH + 1)
+    near = stored(near)
+    before = first.select(F.col("session").alias("s"), F.col("asked").alias("earlier"), F.col("row_id").alias("r"))
+    seen = (F.col("session") == F.col("s")) & (F.col("r") < F.col("row_id")) & (F.size(F.array_intersect("own", "earlier")) >= 2)
+    found = stored(first.join(near.where(F.col("place") <= PICK_DEPTH), "asked").join(before, seen, "left_anti").select("session", "row_id", "memory_id", "chars", "shared"))
+    done = found.groupBy("session", "row_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    more = near.where(F.col("place") > PICK_DEPTH).select("asked")
+    rest = stored(first.join(more, "asked", "left_semi").join(done, ["session", "row_id"], "left_anti").select("session", "row_id"))
+    deep = first.join(rest.select("session").distinct(), "session", "left_semi").join(both, "asked").groupBy("session", "own").agg(F.min(F.struct("row_id", "shared")).alias("r"))
+    deep = deep.select("session", "own", "r.*").join(rest, ["session", "row_id"], "left_semi").join(notes, "own").select("session", "row_id", "memory_id", "chars", "shared")
+    every = found.join(rest, ["session", "row_id"], "left_anti").unionByName(deep)
+    return every.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy(F.col("shared").desc(), "memory_id"))).where("n <= 3").drop("n")

@@ -42,7 +42,7 @@ def _moved(spark):
 
 
 #: Rows that may move: a few a note and call, never one for each pair of them.
-MOST = {'ret07_error_recall': 20000}
+MOST = {'ret07_error_recall': 20000, 'sup13_row_pick': 20000}
 
 
 @pytest.mark.parametrize("name", sorted(MOST))
