@@ -198,10 +198,14 @@ def context(spark, d):
 @query("ret12_reconcile_candidates", f"WITH {CURRENT}, l AS (SELECT DISTINCT memory_id, unnest({LABELS}) AS label FROM m WHERE archived_at IS NULL AND deleted_at IS NULL), e AS (SELECT DISTINCT entry_id, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'))) AS label FROM (SELECT DISTINCT entry_id, text FROM entries)) SELECT entry_id, memory_id, count(*) AS hits, row_number() OVER (PARTITION BY entry_id ORDER BY count(*) DESC, memory_id) AS place FROM e JOIN l USING (label) GROUP BY entry_id, memory_id QUALIFY place <= 5")
 def reconcile_candidates(spark, d):
     """The five live notes with most labels among the words of an entry."""
-    l = current(spark, d).where(tables.live()).select("memory_id", F.explode(label_list(F.col("labels"))).alias("label"))
-    e = table(spark, d, "entries").select("entry_id", "text").distinct().select("entry_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))).alias("label")).distinct()
-    g = e.join(l, "label").groupBy("entry_id", "memory_id").agg(F.count(F.lit(1)).alias("hits"))
-    return g.withColumn("place", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.col("hits").desc(), "memory_id"))).where("place <= 5")
+    own = labelsets.sets(current(spark, d).where(tables.live()).select("memory_id", label_list(F.col("labels")).alias("own")), 5)
+    labels = own.select(F.explode("own").alias("label")).distinct()
+    e = table(spark, d, "entries").select("entry_id", "text").distinct().select("entry_id", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"))).alias("label"))
+    e = stored(e.join(labels, "label").groupBy("entry_id").agg(F.array_sort(F.collect_set("label")).alias("asked")))
+    asked = stored(e.select("asked").distinct().withColumn("query", F.monotonically_increasing_id()))
+    g = labelsets.top_shared(asked, own, 5).join(own.select("id", "notes"), "id").select("query", "hits", F.inline("notes"))
+    g = g.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.col("hits").desc(), "memory_id"))).where("place <= 5")
+    return e.join(asked, "asked").join(g, "query").select("entry_id", "memory_id", "hits", "place")
 
 
 @query("mth03_local_score", f"WITH {WORDS}, a AS (SELECT avg(len(w)) AS avgdl FROM w), s AS (SELECT qq.query, p.id, sum(v * 2.2 / (1 + 1.2 * (0.25 + 0.75 * n / avgdl))) AS score FROM qq JOIN (SELECT id, len(w) AS n, unnest(w) AS t FROM w) p USING (t) JOIN f USING (t), a GROUP BY ALL) SELECT query, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 10")
