@@ -1,8 +1,9 @@
 """Ranked recall: a table of queries against pools of notes, in one plan.
 
 Notes are cut into units (their chunks, or the whole note). A unit's words are counted once, inside its row, and
-written as postings (pool, unit, len, term, tf); everything else is derived from that table: document frequencies by one
-shuffle on the term, pool sizes by one partial aggregation, hits by one join of the postings with the terms of all queries.
+written; everything else is derived from that table: document frequencies by one shuffle on the term, pool sizes by one
+partial aggregation, hits of queries without a vector in blocks that keep what can be answered, hits of the others by
+one join of the postings with the terms of these queries.
 
 A unit matches a query when it holds a real term of it: no stop word, or a stop word in at most a twentieth of the units.
 The keyword score is Okapi BM25 over the pool plus a bounded boost for labels that the query names. Where a query
@@ -13,12 +14,16 @@ represented by its best unit and its best cosine. Queries without a vector pass
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import term_counts, tokens
-from quern.operators.ranking import B, EPSILON, K1, RRF_K
-from quern.session import stored
+from quern.operators.ranking import B, EPSILON, K1, RRF_K, Best, _flat, block_product, packed
+from quern.session import cut_lineage, stored
 
 #: The stop words of the keyword match.
 STOP_WORDS = tuple(
@@ -47,18 +52,39 @@ def units_of(notes: DataFrame, chunks: DataFrame) -> DataFrame:
     return notes.join(chunks.select("note", "part", "search_text"), "note", "left").select(*kept, F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.coalesce("search_text", whole).alias("text"))
 
 
+def _pooled(one: dict[str, pa.Array]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(pool, scores, queries, notes, parts) for each pool that a pack of units and a pack of queries share; -inf where no real term matches."""
+    notes, parts, lens, queries, avgdl = (one[x].flatten().to_numpy() for x in ("note", "part", "len", "query", "avgdl"))
+    in_pool, for_pool = (np.array(one[x].flatten().to_pylist(), object) for x in ("pool", "asked_pool"))
+    (each, words), (_, tf), (tags, labels) = (_flat(one[x]) for x in ("words", "tf", "labels"))
+    (wide, terms), (_, weights), (_, reals), (many, named) = (_flat(one[x]) for x in ("terms", "weights", "reals", "named"))
+    tf, weights, reals = tf.to_numpy(), weights.to_numpy(), reals.to_numpy()
+    for pool in {*in_pool} & {*for_pool}:
+        mine, ours = in_pool == pool, for_pool == pool
+        n, m = mine.sum(), ours.sum()
+        at, to = np.cumsum(mine) - 1, np.cumsum(ours) - 1
+        w, t, l, q = np.repeat(mine, each), np.repeat(ours, wide), np.repeat(mine, tags), np.repeat(ours, many)
+        row, column = np.repeat(np.arange(len(mine)), each)[w], np.repeat(np.arange(len(ours)), wide)[t]
+        part = tf[w] * (K1 + 1) / (tf[w] + K1 * (1 - B + B * lens[row] / avgdl[ours][0]))
+        held, said = words.filter(pa.array(w)), terms.filter(pa.array(t))
+        scores = block_product(at[row], held, part, to[column], said, weights[t], n, m)
+        real = block_product(at[row], held, np.ones(len(row)), to[column], said, reals[t], n, m)
+        shared = block_product(at[np.repeat(np.arange(len(mine)), tags)[l]], labels.filter(pa.array(l)), np.ones(l.sum()), to[np.repeat(np.arange(len(ours)), many)[q]], named.filter(pa.array(q)), np.ones(q.sum()), n, m)
+        scores += BOOST * np.minimum(np.rint(shared), BOOST_LABELS)
+        yield pool, np.where(real > 0.5, scores, -np.inf), queries[ours], notes[mine], parts[mine]
+
+
 class Recall:
     """Statistics of the pools of ``units``; ``answer`` ranks a table of queries."""
 
     def __init__(self, units: DataFrame):
-        words = units.select("pool", "note", "part", tokens("text").alias("w"))
-        self.labels = units.select("note", "labels").where(F.size("labels") > 0).distinct()
-        self.units = units.select("pool", "note", "part", "weight")
-        each = words.select("pool", "note", "part", F.size("w").alias("len"), F.explode_outer(term_counts(F.col("w"))).alias("c"))
-        self.postings = stored(each.select("pool", "note", "part", "len", F.col("c.term").alias("term"), F.col("c.tf").alias("tf")))
-        first = words.select("pool", F.size("w").alias("len"))
-        self.size = first.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-        held = self.postings.where("term is not null").groupBy("pool", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
+        words = units.select("pool", "note", "part", "weight", "labels", tokens("text").alias("w"))
+        self.words = stored(words.select("pool", "note", "part", "weight", "labels", F.size("w").alias("len"), term_counts(F.col("w")).alias("counts")))
+        self.labels = self.words.select("note", "labels").where(F.size("labels") > 0).distinct()
+        self.units = self.words.select("pool", "note", "part", "weight")
+        self.postings = self.words.select("pool", "note", "part", "len", F.inline("counts"))
+        self.size = self.words.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+        held = self.postings.groupBy("pool", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("uses"))
         n, df = F.col("n"), F.col("df")
         self.terms = stored(held.join(self.size, "pool").withColumn("idf", F.log(n - df + 0.5) - F.log(df + 0.5)))
         floor = self.terms.groupBy("pool").agg((EPSILON * F.avg("idf")).alias("floor"))
@@ -90,19 +116,69 @@ class Recall:
         total = F.round(F.col("score") + F.coalesce("boost", F.lit(0.0)), 6)
         return scored.join(boost, ["query", "note"], "left").select("query", "note", "part", total.alias("bm25"))
 
-    def boosts(self, queries: DataFrame) -> DataFrame:
-        """(query, note, boost): labels that are a token of the query, or end a path in it; an equi-join on the label."""
+    def named(self, queries: DataFrame) -> DataFrame:
+        """(query, pool, label): tokens of the query, and what stands behind a slash in one."""
         said = queries.select("query", "pool", F.explode(F.array_distinct(tokens("text"))).alias("token"))
         ends = F.transform(F.sequence(F.lit(2), F.size(F.split("token", "/"))), lambda i: F.array_join(F.slice(F.split("token", "/"), i, 1000), "/"))
-        named = said.select("query", "pool", F.explode(F.concat(F.array("token"), F.when(F.contains("token", F.lit("/")), ends).otherwise(F.array().cast("array<string>")))).alias("label")).distinct()
+        return said.select("query", "pool", F.explode(F.concat(F.array("token"), F.when(F.contains("token", F.lit("/")), ends).otherwise(F.array().cast("array<string>")))).alias("label")).distinct()
+
+    def boosts(self, queries: DataFrame) -> DataFrame:
+        """(query, note, boost): labels that are a token of the query, or end a path in it; an equi-join on the label."""
         pools = self.units.select("note", "pool").distinct()
         own = self.labels.select("note", F.explode("labels").alias("label")).join(pools, "note")
-        found = own.join(named, ["pool", "label"]).groupBy("query", "note").agg(F.countDistinct("label").alias("k"))
+        found = own.join(self.named(queries), ["pool", "label"]).groupBy("query", "note").agg(F.countDistinct("label").alias("k"))
         return found.select("query", "note", (BOOST * F.least("k", F.lit(BOOST_LABELS))).alias("boost"))
 
+    def best(self, terms: DataFrame, k: int, queries: DataFrame | None = None) -> DataFrame:
+        """(query, note, part, score): of ``matches``, in blocks, at least all units that are not below the best unit of a query's ``k``-th note.
+
+        Packs of units are multiplied with packs of queries, pool by pool, so no pair of a query and a unit is a row; with
+        ``queries`` scores hold the label boost. Scores are not rounded.
+        """
+        weight = F.col("times") * F.col("idf")
+        asked = terms.where("df is not null").groupBy("query", "pool", "avgdl").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights"), F.collect_list(F.col("real").cast("double")).alias("reals")).where(F.exists("reals", lambda x: x > 0))
+        if queries is None:
+            asked = asked.withColumn("named", F.array().cast("array<string>"))
+        else:
+            said = self.named(queries).join(self.labels.select(F.explode("labels").alias("label")).distinct(), "label")
+            asked = asked.join(said.groupBy("query").agg(F.collect_set("label").alias("named")), "query", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+        asked = asked.select(F.col("query").cast("long").alias("query"), F.col("pool").alias("asked_pool"), "avgdl", "terms", "weights", "reals", "named")
+        rows = self.words.where("len > 0").select("pool", F.col("note").cast("long").alias("note"), "part", "len", F.coalesce("labels", F.array().cast("array<string>")).alias("labels"), F.col("counts.term").alias("words"), F.col("counts.tf").alias("tf"))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept: dict[str, Best] = {}
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
+                    for pool, scores, queries, notes, parts in _pooled(one):
+                        kept.setdefault(pool, Best(k)).add(scores, queries, notes, parts)
+            for best in kept.values():
+                for x in best.rows():
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in x], names=["query", "note", "part", "score"])
+
+        return packed(rows).crossJoin(cut_lineage(packed(asked))).mapInArrow(score, "query long, note long, part long, score double")
+
     def answer(self, queries: DataFrame, cosines: DataFrame, top_k: int) -> DataFrame:
-        """``queries`` (query, pool, text), ``cosines`` (query, note, part, cosine): (query, rank, note, part, mode, score, fusion, bm25)."""
+        """``queries`` (query, pool, text), ``cosines`` (query, note, part, cosine) or None: (query, rank, note, part, mode, score, fusion, bm25)."""
         terms = stored(self.query_terms(queries))
+        if cosines is None:
+            return self.gate(stored(self._by_words(queries, terms, top_k)), queries, terms)
+        cosines = stored(cosines)
+        near = cosines.select("query").distinct()
+        fused = self._fused(queries.join(near, "query", "left_semi"), terms.join(near, "query", "left_semi"), cosines, top_k)
+        rest = self._by_words(queries.join(near, "query", "left_anti"), terms.join(near, "query", "left_anti"), top_k)
+        return self.gate(stored(fused.unionByName(rest)), queries, terms)
+
+    def _by_words(self, queries: DataFrame, terms: DataFrame, top_k: int) -> DataFrame:
+        """Answers of queries without a vector: the keyword order, a note standing where its best unit does."""
+        place = Window.partitionBy("query").orderBy(F.col("bm25").desc(), "note", "part")
+        found = self.best(terms, top_k, queries).select("query", "note", "part", F.round("score", 6).alias("bm25")).withColumn("place", F.row_number().over(place))
+        one = found.withColumn("first", F.row_number().over(Window.partitionBy("query", "note").orderBy("place"))).where("first = 1")
+        ranked = one.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("rank") <= top_k)
+        return ranked.select("query", "rank", "note", "part", F.lit("keyword").alias("mode"), F.lit(None).cast("double").alias("score"), F.round(1.0 / (RRF_K + F.col("place")), 6).alias("fusion"), "bm25")
+
+    def _fused(self, queries: DataFrame, terms: DataFrame, cosines: DataFrame, top_k: int) -> DataFrame:
+        """Answers of queries with a vector; every match has a rank here, as fusion needs those of far rows, too."""
         place = Window.partitionBy("query").orderBy(F.col("bm25").desc(), "note", "part")
         by_words = self.matches(queries, terms).withColumn("word_rank", F.row_number().over(place))
         sem = cosines.join(self.units, ["note", "part"]).select("query", "note", "part", F.round(F.col("cosine") * F.col("weight"), 4).alias("sem"))
@@ -122,7 +198,7 @@ class Recall:
         one = both.withColumns({"score": F.max("sem").over(file), "first": F.row_number().over(file.orderBy(*order))}).where("first = 1")
         ranked = one.withColumn("rank", F.row_number().over(q.orderBy(*order))).where(F.col("rank") <= top_k)
         out = ranked.select("query", "rank", "note", "part", F.when(F.col("hybrid"), "hybrid").otherwise("keyword").alias("mode"), "score", "fusion", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
-        return self.gate(stored(out), queries, terms)
+        return out
 
     def gate(self, ranked: DataFrame, queries: DataFrame, terms: DataFrame) -> DataFrame:
         """Drops the answers of keyword queries whose first row says too little about the query."""
@@ -131,7 +207,7 @@ class Recall:
         # a real stop word counts only where the query has no other real term
         own = terms.withColumn("other", F.max(F.col("real") & ~F.col("stop")).over(w))
         own = own.withColumn("asked", F.col("real") & (~F.col("stop") | ~F.col("other")))
-        tf = self.postings.select("note", "part", "len", "term", "tf").join(top, ["note", "part"]).select("query", "term", "tf", "len")
+        tf = self.words.select("note", "part", "len", "counts").join(top, ["note", "part"]).select("query", "len", F.inline("counts"))
         sized = own.join(tf, ["query", "term"], "left")
         cap = F.floor(F.col("n") / 2)
         got = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
@@ -143,7 +219,8 @@ class Recall:
             ((K1 + 1) * (F.coalesce(F.sum(F.when(F.col("asked"), F.col("idf"))), F.lit(0.0)) + F.max(one) * F.count_if(F.col("df").isNull() & ~F.col("stop")))).alias("most"),
         )
         share = F.when(F.col("most") > 0, F.col("got") / F.col("most")).otherwise(F.lit(0.0))
-        named = top.join(self.boosts(queries), ["query", "note"], "left_semi").select("query", F.lit(True).alias("named"))
+        own = top.join(self.labels, "note").select("query", F.explode("labels").alias("label"))
+        named = own.join(self.named(queries), ["query", "label"], "left_semi").select("query", F.lit(True).alias("named")).distinct()
         passes = (F.col("n") < GATE_UNITS) | (F.col("informative") >= GATE_WORDS) | ((F.col("informative") >= 1) & (share >= GATE_ONE_SHARE)) | ((F.col("terms") > 0) & (F.col("rare") == F.col("terms")) & (share >= GATE_RARE_SHARE))
         verdict = each.join(named, "query", "left").select("query", (passes | F.coalesce("named", F.lit(False))).alias("passes"), F.round(share, 6).alias("score_share"))
         return ranked.join(verdict, "query", "left").where("mode = 'hybrid' or passes").drop("passes")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import label_list
 from quern.operators import ranking, recall, tables
 from quern.registry import query
-from quern.session import table
+from quern.session import stored, table
 
 EVERY, TOP = 100, 20
 STOPS = ", ".join(f"'{w}'" for w in recall.STOP_WORDS)
@@ -76,7 +76,8 @@ def cosines(spark, d, units, queries):
 def hybrid_recall(spark, d):
     """Pool, keyword match, boost, fusion, collapse to notes and gate for every query at once."""
     units, queries = pools(spark, d), asked(spark, d)
-    return recall.Recall(units).answer(queries, cosines(spark, d, units, queries), TOP)
+    r = recall.Recall(units)
+    return r.answer(queries, cosines(spark, d, r.units, queries), TOP)
 
 
 @query("ret02_keyword_recall", f"WITH {RECALL.replace('JOIN embeddings g ON g.vec_id = q0.query', 'JOIN (SELECT * FROM embeddings WHERE vec_id < 0) g ON g.vec_id = q0.query')} SELECT query, rank, note, part, mode, score, fusion, bm25, round(share, 6) AS score_share FROM hits LEFT JOIN v USING (query) WHERE mode = 'hybrid' OR passes")
