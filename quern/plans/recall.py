@@ -84,8 +84,7 @@ def hybrid_recall(spark, d):
 def keyword_recall(spark, d):
     """The same without vectors: keyword order, and every query has to pass the gate."""
     units, queries = pools(spark, d), asked(spark, d)
-    none = cosines(spark, d, units, queries).limit(0)
-    return recall.Recall(units).answer(queries, none, TOP)
+    return recall.Recall(units).answer(queries, None, TOP)
 
 
 @query("mth04_score_share", f"WITH {UNITS}, x AS (SELECT query, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS got, note, part FROM post JOIN qt USING (pool, term) WHERE real GROUP BY ALL), y AS (SELECT query, max(got) AS got FROM x GROUP BY query), z AS (SELECT query, 2.5 * sum(times * idf) AS most FROM qt WHERE real GROUP BY query) SELECT query, round(got / most, 6) AS share FROM y JOIN z USING (query) WHERE most > 0")
