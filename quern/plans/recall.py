@@ -92,8 +92,7 @@ def score_share(spark, d):
     """What the best unit reaches of the most that the real terms of a query can score."""
     queries = asked(spark, d)
     r = recall.Recall(pools(spark, d))
-    terms = r.query_terms(queries).where("real")
-    part = F.col("times") * F.col("idf") * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("len") / F.col("avgdl")))
-    got = r.postings.join(terms, ["pool", "term"]).groupBy("query", "note", "part").agg(F.sum(part).alias("got")).groupBy("query").agg(F.max("got").alias("got"))
+    terms = stored(r.query_terms(queries).where("real"))
+    got = r.best(terms, 1).groupBy("query").agg(F.max("score").alias("got"))
     most = terms.groupBy("query").agg((2.5 * F.sum(F.col("times") * F.col("idf"))).alias("most")).where("most > 0")
     return got.join(most, "query").select("query", F.round(F.col("got") / F.col("most"), 6).alias("share"))
