@@ -217,63 +217,32 @@ def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k
     With ``k`` at least the rows that are among the ``k`` best of a query.
     """
     counted = lengths(docs, id_col, text_col)
-    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
     size = F.broadcast(pool_size(counted))
-    df = document_frequency(counted).crossJoin(size).withColumn("idf", idf(F.col("df"), F.col("n")))
+    df = stored(document_frequency(counted).crossJoin(size).withColumn("idf", idf(F.col("df"), F.col("n"))))
     mean = F.broadcast(df.agg(F.avg("idf").alias("mean_idf")))
     worth = df.crossJoin(mean).select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     uses = queries.select(F.col("query").cast("long").alias("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     # A term in just half of the pool is worth 0 and still makes a hit.
     weight = F.when(F.col("idf") == 0, 1e-300).otherwise(F.col("times") * F.col("idf"))
     asked = uses.join(worth, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights"))
-    rows = packed(words.select(F.col("id").cast("long").alias("id"), "words").where(F.size("words") > 0)).crossJoin(size.select("avgdl"))
+    rows = packed(counted.where("len > 0").select(F.col("id").cast("long").alias("id"), "len", F.col("counts.term").alias("words"), F.col("counts.tf").alias("tf"))).crossJoin(size.select("avgdl"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
-                ids, queries = (one[x].flatten().to_numpy() for x in ("id", "query"))
-                (long, held), (wide, terms), (_, weights) = _flat(one["words"]), _flat(one["terms"]), _flat(one["weights"])
-                scores = _bm25_block(held, long, terms, wide, weights.to_numpy(), one["avgdl"][0].as_py())
-                yield _best(np.where(scores == 0, -np.inf, scores), queries, ids, k, -np.inf, 1e-6)
+                ids, long, queries = (one[x].flatten().to_numpy() for x in ("id", "len", "query"))
+                (each, held), (_, tf), (wide, terms), (_, weights) = (_flat(one[x]) for x in ("words", "tf", "terms", "weights"))
+                doc, tf = np.repeat(np.arange(len(ids)), each), tf.to_numpy()
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc] / one["avgdl"][0].as_py()))
+                scores = block_product(doc, held, part, np.repeat(np.arange(len(queries)), wide), terms, weights.to_numpy(), len(ids), len(queries))
+                best.add(np.where(scores == 0, -np.inf, scores), queries, ids)
+        yield from best.batches()
 
     return rows.crossJoin(cut_lineage(packed(asked))).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
 
 
-def _bm25_block(held: pa.Array, long: np.ndarray, terms: pa.Array, wide: np.ndarray, weights: np.ndarray, avgdl: float) -> np.ndarray:
-    """Scores [documents, queries]: words of the documents (``long`` of each) against weighted terms of the queries (``wide`` of each)."""
-    vocabulary = terms.unique()
-    n, m = len(long), len(wide)
-    term = terms.dictionary_encode().indices.to_numpy()
-    query = np.repeat(np.arange(m), wide)
-    at = pc.index_in(held, vocabulary)
-    known = at.is_valid().to_numpy(zero_copy_only=False)
-    pair, tf = np.unique(np.repeat(np.arange(n), long)[known] * len(vocabulary) + at.drop_null().to_numpy(), return_counts=True)
-    doc, word = pair // len(vocabulary), pair % len(vocabulary)
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc] / avgdl))
-    out = np.zeros((n, m))
-    in_docs, in_queries = np.bincount(word, minlength=len(vocabulary)), np.bincount(term, minlength=len(vocabulary))
-    # Terms of many documents and queries are multiplied as matrices, the others pair by pair.
-    common = in_docs * in_queries > n * m // 50
-    for some in np.array_split(np.flatnonzero(common), max(1, common.sum() // 500)):
-        place = np.full(len(vocabulary), -1)
-        place[some] = np.arange(len(some))
-        a, b = np.zeros((n, len(some))), np.zeros((len(some), m))
-        x, y = place[word] >= 0, place[term] >= 0
-        a[doc[x], place[word[x]]] = part[x]
-        b[place[term[y]], query[y]] = weights[y]
-        out += a @ b
-    order = np.argsort(term, kind="stable")
-    first = np.cumsum(in_queries) - in_queries
-    rare = np.flatnonzero(~common[word])
-    for some in np.array_split(rare, max(1, in_queries[word[rare]].sum() // 5_000_000)):
-        times = in_queries[word[some]]
-        left = np.repeat(some, times)
-        right = order[np.arange(len(left)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first[word[some]], times)]
-        out += np.bincount(doc[left] * m + query[right], part[left] * weights[right], n * m).reshape(n, m)
-    return out
-
-
 def share_each(rows: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:
     """(query, id, score): the share of ``most`` that the terms of a row (query, most, terms, weights) reach in a row (id, words), from about ``floor`` up."""
     held = packed(rows.where(F.size("words") > 0).select(F.col("id").cast("long").alias("id"), "words"))

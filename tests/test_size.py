@@ -67,3 +67,15 @@ def test_masses_of_matches(spark, crowd, monkeypatch, name):
     at = [x[0] for x in want.description]
     assert got == sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in want.fetchall()), key=repr)
     assert got and moved < MOST[name], moved
+
+
+def test_keyword_search_keeps_few_rows_a_task(spark, monkeypatch):
+    """What leaves a task is about k rows a query, however many blocks it scored; the best of all are among them."""
+    monkeypatch.setattr(ranking.packed, "__defaults__", (20,))
+    words = ["lease", "table", "stale", "rare", "lock"]
+    docs = spark.createDataFrame([(i, " ".join(words[: i % 5 + 1] + [f"w{i % 13}"] * (i % 7 + 1))) for i in range(600)], "id long, t string").repartition(2)
+    asked = spark.createDataFrame([(1, "lease rare w3"), (2, "stale lock w5 w6"), (3, "table")], "query long, text string").coalesce(1)
+    some = ranking.bm25_each(docs, "id", "t", asked, 5)
+    best = lambda x: sorted(tuple(r) for r in ranking.top_each(x, 5).select("query", "rank", "id", "score").collect())
+    assert best(some) == best(ranking.bm25_each(docs, "id", "t", asked))
+    assert some.count() < 3 * 2 * 40
