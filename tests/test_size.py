@@ -79,3 +79,14 @@ def test_keyword_search_keeps_few_rows_a_task(spark, monkeypatch):
     best = lambda x: sorted(tuple(r) for r in ranking.top_each(x, 5).select("query", "rank", "id", "score").collect())
     assert best(some) == best(ranking.bm25_each(docs, "id", "t", asked))
     assert some.count() < 3 * 2 * 40
+
+
+def test_deep_lists_leave_a_task_once(spark, monkeypatch):
+    """At the depth of a fused search a block is smaller than its list; a task still sends each list once, not each block's."""
+    monkeypatch.setattr(ranking.packed, "__defaults__", (20,))
+    docs = spark.createDataFrame([(i, " ".join(["lease", "table", "stale"][: i % 3 + 1] + [f"w{i % 17}"] * (i % 11 + 1))) for i in range(600)], "id long, t string").repartition(2)
+    asked = spark.createDataFrame([(1, "lease w3"), (2, "stale lease w5 w6")], "query long, text string").coalesce(1)
+    some = ranking.bm25_each(docs, "id", "t", asked, 60)
+    best = lambda x: sorted(tuple(r) for r in ranking.top_each(x, 60).select("query", "rank", "id", "score").collect())
+    assert best(some) == best(ranking.bm25_each(docs, "id", "t", asked))
+    assert some.count() < 2 * 2 * 120
