@@ -6,6 +6,7 @@ Statistics are always those of the pool that is passed in: filter first, then ra
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,19 +16,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scores import dot
-from quern.functions.text import term_counts, tokens
+from quern.functions.text import tokens
 from quern.session import cut_lineage, stored
 
 #: Fixed values of the keyword score and of reciprocal rank fusion.
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
 #: Rows of a block when many queries are scored at once.
 BLOCK = 1000
+#: Blocks of queries that a task scores at most, as it keeps the lists of all of them.
+PACKS = 8
+#: What ``tokens`` finds in a lower-case text.
+WORD = re.compile(r"[a-z0-9_.\-/]{2,}")
 
 
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, len, counts): every text is tokenised once, its terms counted inside its row; what is written is read by each step."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
-    return stored(words.select("id", F.size("words").alias("len"), term_counts(F.col("words")).alias("counts")))
+    """(id, len, counts): every text is tokenised once, its terms counted inside its row; what is written is read by each step.
+
+    Same as ``tokens`` and ``term_counts`` (null counts where there is no term), which take four times the CPU.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                long, ends, terms, tf = [], [], [], []
+                for text in part.column(1).to_pylist():
+                    held = WORD.findall(text)
+                    own = Counter(held)
+                    terms += (some := sorted(own))
+                    tf += [own[term] for term in some]
+                    long.append(len(held))
+                    ends.append(len(terms))
+                starts = [None if n == 0 else end for n, end in zip(long, [0, *ends])] + ends[-1:]
+                each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int32())], names=["term", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(long, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), each)], names=["id", "len", "counts"])
+
+    return stored(texts.mapInArrow(count, f"id {dict(texts.dtypes)['id']}, len int, counts array<struct<term: string, tf: int>>"))
 
 
 def postings(words: DataFrame) -> DataFrame:
@@ -93,6 +118,26 @@ def packed(df: DataFrame, rows: int = BLOCK) -> DataFrame:
     return df.mapInArrow(pack, ", ".join(f"{name} array<{kind}>" for name, kind in df.dtypes))
 
 
+def sealed(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Like ``packed``, but a block is one binary value ``name``, which a join copies without a look at its parts; ``opened`` reads it."""
+    rows = rows or packed.__defaults__[0]
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in batch.slice(at, rows).columns], names=batch.schema.names)
+                to = pa.BufferOutputStream()
+                with pa.ipc.new_stream(to, part.schema) as stream:
+                    stream.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([to.getvalue().to_pybytes()], pa.binary())], names=[name])
+
+    return df.mapInArrow(seal, f"{name} binary")
+
+
+def opened(value: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
 def _best(scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, k: int | None, floor: float, slack: float) -> pa.RecordBatch:
     """Of a block [ids, queries] what can be among the ``k`` best of a query, or at or above ``floor``, once scores are rounded; -inf is no score."""
     keep = (scores > -np.inf) & (scores >= floor - slack)
@@ -169,16 +214,21 @@ class Best:
     """What a task has to keep of the scores of its blocks: for every query the ``k`` best ids, or all from ``floor`` up.
 
     An id may have several rows (the parts of a note); all rows count that are not below the best row of the k-th id. The bound
-    rises from block to block, so a task returns about ``k`` ids a query, however many blocks it reads.
+    rises from block to block, so a task returns about ``k`` ids a query, however many blocks it reads. ``single``: an id has one
+    row, so the k-th best of a block is a bound before its rows are kept, and they need no sort by id.
     """
 
-    def __init__(self, k: int | None, floor: float = -np.inf, slack: float = 1e-6):
-        self.k, self.floor, self.slack, self.packs = k, floor, slack, {}
+    def __init__(self, k: int | None, floor: float = -np.inf, slack: float = 1e-6, single: bool = False):
+        self.k, self.floor, self.slack, self.single, self.packs = k, floor, slack, single, {}
 
     def add(self, scores: np.ndarray, queries: np.ndarray, ids: np.ndarray, parts: np.ndarray | None = None) -> None:
         """``scores`` of a block [ids, queries]; -inf is no score."""
         pack = self.packs.setdefault(queries.tobytes(), {"queries": queries, "least": np.full(len(queries), self.floor - self.slack), "rows": [], "new": 0})
-        row, column = np.nonzero((scores > -np.inf) & (scores >= pack["least"]))
+        keep = (scores > -np.inf) & (scores >= pack["least"])
+        if self.single and self.k is not None and len(ids) > self.k and np.count_nonzero(keep) > self.k * len(queries):
+            pack["least"] = np.maximum(pack["least"], np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k] - self.slack)
+            keep &= scores >= pack["least"]
+        row, column = np.nonzero(keep)
         pack["rows"].append((column, ids[row], np.zeros(len(row), np.int64) if parts is None else parts[row], scores[row, column]))
         pack["new"] += len(row)
         if self.k is not None and pack["new"] > 2 * self.k * len(queries):
@@ -186,10 +236,12 @@ class Best:
 
     def _cut(self, pack: dict) -> None:
         column, ids, parts, scores = (np.concatenate(x) for x in zip(*pack["rows"]))
-        order = np.lexsort((-scores, ids, column))
-        c, i, v = column[order], ids[order], scores[order]
-        first = np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1])] if len(c) else np.zeros(0, bool)
-        c, v = c[first], v[first]
+        c, v = column, scores
+        if not self.single:
+            order = np.lexsort((-scores, ids, column))
+            c, i, v = column[order], ids[order], scores[order]
+            first = np.r_[True, (c[1:] != c[:-1]) | (i[1:] != i[:-1])] if len(c) else np.zeros(0, bool)
+            c, v = c[first], v[first]
         order = np.lexsort((-v, c))
         c, v = c[order], v[order]
         starts = np.searchsorted(c, np.arange(len(pack["queries"])))
@@ -224,23 +276,26 @@ def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k
     uses = queries.select(F.col("query").cast("long").alias("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     # A term in just half of the pool is worth 0 and still makes a hit.
     weight = F.when(F.col("idf") == 0, 1e-300).otherwise(F.col("times") * F.col("idf"))
-    asked = uses.join(worth, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights"))
-    rows = packed(counted.where("len > 0").select(F.col("id").cast("long").alias("id"), "len", F.col("counts.term").alias("words"), F.col("counts.tf").alias("tf"))).crossJoin(size.select("avgdl"))
+    asked = stored(uses.join(worth, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights")))
+    full = max(1, -(-asked.count() // packed.__defaults__[0]))
+    asked = cut_lineage(sealed(asked.repartition(full), "asks")).coalesce(-(-full // PACKS))  # the rows are read and sealed once for each partition of it
+    rows = sealed(counted.where("len > 0").select(F.col("id").cast("long").alias("id"), "len", "counts"), "block").crossJoin(size.select("avgdl"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(k)
+        best = Best(k, single=True)
         for batch in batches:
             for i in range(batch.num_rows):
-                one = {name: batch.column(name).slice(i, 1) for name in batch.schema.names}
-                ids, long, queries = (one[x].flatten().to_numpy() for x in ("id", "len", "query"))
-                (each, held), (_, tf), (wide, terms), (_, weights) = (_flat(one[x]) for x in ("words", "tf", "terms", "weights"))
-                doc, tf = np.repeat(np.arange(len(ids)), each), tf.to_numpy()
-                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc] / one["avgdl"][0].as_py()))
-                scores = block_product(doc, held, part, np.repeat(np.arange(len(queries)), wide), terms, weights.to_numpy(), len(ids), len(queries))
+                block, asks = opened(batch.column("block")[i]), opened(batch.column("asks")[i])
+                ids, long, queries = (x.to_numpy() for x in (block.column("id"), block.column("len"), asks.column("query")))
+                held, tf = block.column("counts").flatten().flatten()
+                doc, tf = np.repeat(np.arange(len(ids)), block.column("counts").value_lengths()), tf.to_numpy()
+                terms, weights, wide = asks.column("terms").flatten(), asks.column("weights").flatten().to_numpy(), asks.column("terms").value_lengths()
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * long[doc] / batch.column("avgdl")[i].as_py()))
+                scores = block_product(doc, held, part, np.repeat(np.arange(len(queries)), wide), terms, weights, len(ids), len(queries))
                 best.add(np.where(scores == 0, -np.inf, scores), queries, ids)
         yield from best.batches()
 
-    return rows.crossJoin(cut_lineage(packed(asked))).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
+    return rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
 
 
 def share_each(rows: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:

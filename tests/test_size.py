@@ -3,10 +3,12 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quern import catalogue
+from quern.functions.text import term_counts, tokens
 from quern.operators import ranking
 
 LABELS = ("parser", "linter", "router", "ledger")
@@ -90,3 +92,33 @@ def test_deep_lists_leave_a_task_once(spark, monkeypatch):
     best = lambda x: sorted(tuple(r) for r in ranking.top_each(x, 60).select("query", "rank", "id", "score").collect())
     assert best(some) == best(ranking.bm25_each(docs, "id", "t", asked))
     assert some.count() < 2 * 2 * 120
+
+
+def test_search_reads_its_rows_once(spark):
+    """However many partitions the queries come in, the rows are read and made into blocks for one of them; counts are those of the column functions."""
+    texts = [None, "", "a é", "Ünder_way/x.py İx Kelvin v1.2-b b-", "lease lease\ttable\x00stale"]
+    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(500)], "id long, t string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        got = ranking.bm25_each(docs, "id", "t", docs.select(F.col("id").alias("query"), F.col("t").alias("text")), 5)
+        words = ranking.lengths(docs, "id", "t")
+        assert got.rdd.getNumPartitions() <= words.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    same = docs.select("id", F.size(tokens("t")).alias("len"), term_counts(tokens("t")).alias("counts"))
+    assert sorted(words.collect()) == sorted(same.collect()) and words.dtypes == same.dtypes
+
+
+def test_first_block_leaves_few_rows():
+    """The first block of a task has no bound yet: its k-th best is one before any row is kept."""
+    scores = np.random.default_rng(3).random((900, 40))
+    best = ranking.Best(7, single=True)
+    best.add(scores, np.arange(40), np.arange(900))
+    (pack,) = best.packs.values()
+    assert pack["new"] < 2 * 7 * 40
+    best.add(scores[::-1] + 1, np.arange(40), np.arange(900, 1800))
+    queries, ids, _, got = next(best.rows())
+    want = {(q, 1799 - i) for q in range(40) for i in np.argsort(-scores[:, q])[:7]}
+    assert set(zip(queries.tolist(), ids.tolist())) == want and got.min() > 1
