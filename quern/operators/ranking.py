@@ -266,7 +266,7 @@ class Best:
 def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k: int | None = None) -> DataFrame:
     """(query, id, score) of the documents that hold a term of a row (query, text) of ``queries``, in blocks; scores as in ``bm25``.
 
-    With ``k`` at least the rows that are among the ``k`` best of a query.
+    With ``k`` at least the rows that are among the ``k`` best of a query. Queries of the same words are scored once.
     """
     counted = lengths(docs, id_col, text_col)
     size = F.broadcast(pool_size(counted))
@@ -276,8 +276,11 @@ def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k
     uses = queries.select(F.col("query").cast("long").alias("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
     # A term in just half of the pool is worth 0 and still makes a hit.
     weight = F.when(F.col("idf") == 0, 1e-300).otherwise(F.col("times") * F.col("idf"))
-    asked = stored(uses.join(worth, "term").groupBy("query").agg(F.collect_list("term").alias("terms"), F.collect_list(weight).alias("weights")))
-    full = max(1, -(-asked.count() // packed.__defaults__[0]))
+    bags = uses.join(worth, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", weight.alias("weight")))).alias("bag"))
+    alike = stored(bags.groupBy("bag").agg(F.min("query").alias("query"), F.collect_list("query").alias("alike")))
+    many, most = alike.agg(F.count(F.lit(1)), F.max(F.size("alike"))).first()
+    full = max(1, -(-many // packed.__defaults__[0]))
+    asked = alike.select("query", F.col("bag.term").alias("terms"), F.col("bag.weight").alias("weights"))
     asked = cut_lineage(sealed(asked.repartition(full), "asks")).coalesce(-(-full // PACKS))  # the rows are read and sealed once for each partition of it
     rows = sealed(counted.where("len > 0").select(F.col("id").cast("long").alias("id"), "len", "counts"), "block").crossJoin(size.select("avgdl"))
 
@@ -295,7 +298,11 @@ def bm25_each(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, k
                 best.add(np.where(scores == 0, -np.inf, scores), queries, ids)
         yield from best.batches()
 
-    return rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
+    got = rows.crossJoin(asked).mapInArrow(score, "query long, id long, score double").withColumn("score", F.round("score", 6))
+    if (most or 1) == 1:
+        return got
+    got = got if k is None else top_each(got, k).drop("rank")
+    return got.join(alike.select("query", "alike"), "query").select(F.explode("alike").alias("query"), "id", "score")
 
 
 def share_each(rows: DataFrame, asked: DataFrame, k: int, floor: float) -> DataFrame:

@@ -97,7 +97,7 @@ def test_deep_lists_leave_a_task_once(spark, monkeypatch):
 def test_search_reads_its_rows_once(spark):
     """However many partitions the queries come in, the rows are read and made into blocks for one of them; counts are those of the column functions."""
     texts = [None, "", "a é", "Ünder_way/x.py İx Kelvin v1.2-b b-", "lease lease\ttable\x00stale"]
-    docs = spark.createDataFrame([(i, texts[i % 5]) for i in range(500)], "id long, t string").repartition(3)
+    docs = spark.createDataFrame([(i, f"{texts[i % 5]} n{i}" if i % 5 > 1 else texts[i % 5]) for i in range(500)], "id long, t string").repartition(3)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "7")
     try:
@@ -122,3 +122,20 @@ def test_first_block_leaves_few_rows():
     queries, ids, _, got = next(best.rows())
     want = {(q, 1799 - i) for q in range(40) for i in np.argsort(-scores[:, q])[:7]}
     assert set(zip(queries.tolist(), ids.tolist())) == want and got.min() > 1
+
+
+def test_queries_of_the_same_words_are_scored_once(spark):
+    """Forty queries, two sets of words: the lists of two leave the tasks, and all forty get theirs."""
+    docs = spark.createDataFrame([(i, " ".join(["lease", "table", "stale"][: i % 3 + 1] + [f"w{i % 7}"] * (i % 5 + 1))) for i in range(600)], "id long, t string").repartition(6)
+    texts = ["lease w3 w3", "w3 Lease, w3", "stale table w5"]
+    asked = spark.createDataFrame([(q, texts[q % 3]) for q in range(40)], "query long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        before = _moved(spark)
+        got = sorted(tuple(r) for r in ranking.top_each(ranking.bm25_each(docs, "id", "t", asked, 20), 20).select("query", "rank", "id", "score").collect())
+        moved = _moved(spark) - before
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {q: [tuple(r)[1:] for r in sorted(ranking.ranked(ranking.bm25(docs, "id", "t", texts[q]), 20).select("rank", "id", "score").collect())] for q in range(3)}
+    assert [(q, r, i, s) for q, r, i, s in got if r == 1] and all([(i, s) for a, _, i, s in got if a == q] == want[q % 3] for q in range(40))
+    assert moved < 2400, moved
